@@ -10,7 +10,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import quality as Q
@@ -195,20 +195,19 @@ def walk_forward_ridge(
 
 def _carried_sums(line: Timeline, rows: DataFrame, solve: "_RidgeFolds") -> DataFrame:
     """Per tile the sums over all earlier tiles of its group, and the group's shift."""
-    from pyspark.sql import Window
-
     names = ["target_value", *solve.names]
     first = rows.groupBy(*line.by).agg(
         F.array(*[F.min_by(n, F.when(F.col(n).isNotNull(), F.col(ROW))) for n in names]).alias("_shift")
     )
-    if line.by:
+    if not line.by:
+        shift = first.first()[0]
+        shifted = rows.withColumn("_shift", F.array(*[F.lit(v).cast("double") for v in shift]))
+    else:
         right = first.withColumnsRenamed({n: f"_g_{n}" for n in line.by})
         same = F.lit(True)
         for n in line.by:
             same = same & F.col(n).eqNullSafe(F.col(f"_g_{n}"))
         shifted = rows.join(right, same).drop(*[f"_g_{n}" for n in line.by])
-    else:
-        shifted = rows.crossJoin(F.broadcast(first))  # one row
     key_fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name in line.keys)
     totals = shifted.groupBy(*line.keys).applyInPandas(
         solve.tile_totals(line.keys), f"{key_fields}, _shift array<double>, _sums array<double>"
