@@ -427,7 +427,7 @@ def usable_features(spark, sf_dir):
 
 @query
 def expanding_moments(spark, sf_dir):
-    moments = W.expanding_moments(dataset(spark, sf_dir), [*TWO_FEATURES, "target_value"][:2], MIN_TRAIN)
+    moments = W.expanding_moments(dataset(spark, sf_dir), TWO_FEATURES, MIN_TRAIN)
     return rounded(moments, "train_mean", "train_std", "train_median")
 
 

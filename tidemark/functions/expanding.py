@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.ordered import Timeline
+from tidemark.functions.ordered import TILE, Timeline, null_safe_join
+from tidemark.session import stage
 
 
 def exclusive_median(values: np.ndarray) -> np.ndarray:
@@ -17,18 +18,130 @@ def exclusive_median(values: np.ndarray) -> np.ndarray:
     return pd.Series(values).expanding(min_periods=1).median().shift(1).to_numpy()
 
 
-def expanding_median(line: Timeline, outputs: dict[str, str]) -> Timeline:
-    """Add, per input column, the median of its earlier non-missing values."""
+def expanding_median(line: Timeline, outputs: dict[str, str], row: str) -> Timeline:
+    """Add, per input column, the median of its earlier non-missing values.
+
+    ``row`` numbers the rows of each group. Groups cut into tiles stay exact: a tile's
+    medians can only be its own values or the central values of all earlier tiles, so
+    each tile is handed just those (about as many as it has rows).
+    """
+    if line.split:
+        return _split_median(line, outputs, row)
     schema = T.StructType([*line.frame.schema.fields, *[T.StructField(o, T.DoubleType()) for o in outputs.values()]])
-    order = ["_row"] if "_row" in line.frame.columns else list(line.order)
 
     def whole_group(pdf):
-        pdf = pdf.sort_values(order, na_position="last", kind="stable")
+        pdf = pdf.sort_values(row)
         return pdf.assign(**{out: exclusive_median(pdf[name].to_numpy(float)) for name, out in outputs.items()})
 
-    if not line.split:
-        return replace(line, frame=line.frame.groupBy(*line.keys).applyInPandas(whole_group, schema))
-    raise NotImplementedError
+    return replace(line, frame=line.frame.groupBy(*line.keys).applyInPandas(whole_group, schema))
+
+
+def _fields(df: DataFrame, names: Sequence[str]) -> list[T.StructField]:
+    return [df.schema[n] for n in names]
+
+
+def _split_median(line: Timeline, outputs: dict[str, str], row: str) -> Timeline:
+    by, keys = list(line.by), line.keys
+    cells = F.posexplode(F.array(*[F.col(n) for n in outputs])).alias("_f", "_v")
+    long = line.frame.select(*keys, row, cells)
+    known = long.where("_v is not null")
+
+    # Cut the values of each column into value tiles; equal values are cut by time tile.
+    parts = max(1, -(-known.count() // line.rows_per_tile))
+    valued = stage(
+        known.select(*keys, "_f", "_v")
+        .repartitionByRange(parts, *by, "_f", "_v", TILE)
+        .withColumn("_vt", F.spark_partition_id())
+    )
+    # Counts per (time tile, value tile) tell which value tiles hold the central values of
+    # the rows before each time tile. Time tiles without a value count too.
+    grouped = [*by, "_f"]
+    counts = valued.groupBy(*grouped, "_vt", TILE).agg(F.count(F.lit(1)).alias("n"))
+    tiles = line.frame.select(*keys).distinct().select(
+        *by,
+        F.explode(F.sequence(F.lit(0), F.lit(len(outputs) - 1))).alias("_f"),
+        F.lit(-1).alias("_vt"),
+        TILE,
+        F.lit(0).cast("long").alias("n"),
+    )
+    wanted_schema = T.StructType(
+        [
+            *_fields(tiles, grouped),
+            T.StructField("_vt", T.IntegerType()),
+            T.StructField("_to", T.IntegerType()),
+            T.StructField("below", T.LongType()),
+            T.StructField("total", T.LongType()),
+        ]
+    )
+    tables = counts.select(*tiles.columns).unionByName(tiles)
+    wanted = stage(
+        tables.groupBy(*grouped).applyInPandas(lambda pdf: _central_tiles(pdf, grouped), wanted_schema)
+    )
+
+    # A central value tile serves many time tiles. Its rows are spread evenly first, so
+    # that no task has to produce all its copies.
+    central_rows = null_safe_join(
+        valued, wanted.select(*grouped, "_vt").distinct(), [*grouped, "_vt"], "left_semi"
+    ).repartition(parts)
+    central = (
+        null_safe_join(central_rows, _broadcast_if_small(wanted), [*grouped, "_vt"], "inner")
+        .where(F.col(TILE) < F.col("_to"))
+        .select(*grouped, F.col("_to").alias(TILE), "_v", "below", "total")
+    )
+    medians = (
+        long.groupBy(*keys, "_f")
+        .cogroup(central.groupBy(*keys, "_f"))
+        .applyInPandas(
+            lambda rows, prefix: _tile_medians(rows, prefix, [*keys, "_f", row], row),
+            T.StructType([*_fields(long, [*keys, "_f", row]), T.StructField("_m", T.DoubleType())]),
+        )
+    )
+    wide = medians.groupBy(*keys, row).agg(
+        *[F.max(F.when(F.col("_f") == i, F.col("_m"))).alias(out) for i, out in enumerate(outputs.values())]
+    )
+    return replace(line, frame=null_safe_join(line.frame, wide, [*keys, row], "left"))
+
+
+BROADCAST_ROWS = 500_000
+
+
+def _broadcast_if_small(df: DataFrame) -> DataFrame:
+    """``df`` is staged, so that counting it reads file footers only."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def _central_tiles(pdf: pd.DataFrame, grouped: Sequence[str]) -> pd.DataFrame:
+    """Value tiles with the possible medians of each time tile's earlier rows, from counts."""
+    table = pdf.pivot_table(index=TILE, columns="_vt", values="n", aggfunc="sum", fill_value=0)
+    table = table.drop(columns=-1).sort_index().sort_index(axis=1)
+    own = table.to_numpy()
+    before = np.cumsum(own, axis=0) - own
+    total, added = before.sum(axis=1), own.sum(axis=1)
+    upto = np.cumsum(before, axis=1)
+    low = np.maximum((total - 1) // 2 - added - 1, 0)
+    high = np.minimum((total + added) // 2 + 1, total - 1)
+    chosen = (upto > low[:, None]) & (upto - before <= high[:, None]) & (before > 0)
+    below = np.where(chosen, upto - before, np.iinfo(np.int64).max).min(axis=1, initial=np.iinfo(np.int64).max)
+    t, v = np.nonzero(chosen)
+    out = pd.DataFrame({name: [pdf[name].iloc[0]] * len(t) for name in grouped})
+    return out.assign(_vt=table.columns.to_numpy()[v], _to=table.index.to_numpy()[t], below=below[t], total=total[t])
+
+
+def _tile_medians(rows: pd.DataFrame, prefix: pd.DataFrame, columns: Sequence[str], row: str) -> pd.DataFrame:
+    """Expanding medians of one tile, given the central values of everything before it.
+
+    Values outside the central ones only count. Equally many on both sides cancel, and
+    the rest stand in as numbers beyond all others.
+    """
+    rows = rows.sort_values(row)
+    inner = np.sort(prefix["_v"].to_numpy(float))
+    low = int(prefix["below"].iloc[0]) if len(inner) else 0
+    high = int(prefix["total"].iloc[0]) - low - len(inner) if len(inner) else 0
+    both = min(low, high)
+    far = np.finfo(float).max
+    start = np.concatenate([np.full(low - both, -far), inner, np.full(high - both, far)])
+    medians = exclusive_median(np.concatenate([start, rows["_v"].to_numpy(float)]))
+    return rows[list(columns)].assign(_m=medians[len(start) :])
 
 
 EXACT_ROWS = 1_000_000

@@ -47,6 +47,16 @@ def last_nulls(names: Sequence[str]) -> list[Column]:
     return [F.col(name).asc_nulls_last() for name in names]
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """Join on ``keys`` where missing equals missing; keeps the left side's keys."""
+    renamed = right.withColumnsRenamed({name: f"_k_{name}" for name in keys})
+    same = F.lit(True)
+    for name in keys:
+        same = same & F.col(name).eqNullSafe(F.col(f"_k_{name}"))
+    joined = left.join(renamed, same, how)
+    return joined if how in ("left_semi", "left_anti") else joined.drop(*[f"_k_{name}" for name in keys])
+
+
 @dataclass(frozen=True)
 class Timeline:
     """Rows ordered by ``order`` within ``by``, cut into tiles if a group is large."""
@@ -55,6 +65,7 @@ class Timeline:
     by: tuple[str, ...]
     order: tuple[str, ...]
     split: bool
+    rows_per_tile: int = ROWS_PER_TILE
 
     @property
     def keys(self) -> list[str]:
@@ -140,13 +151,25 @@ class Timeline:
             frame = frame.withColumn(out, F.coalesce(out, "_latest")).drop("_latest")
         return replace(self, frame=frame)
 
+    def first_known(self, outputs: dict[str, str]) -> "Timeline":
+        """Add, on every row, the group's first non-missing value per input column."""
+        if not self.split:
+            whole = self.window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+            firsts = {out: F.first(name, ignorenulls=True).over(whole) for name, out in outputs.items()}
+            return replace(self, frame=self.frame.withColumns(firsts))
+        order = F.struct(*[p for n in self.order for p in (F.col(n).isNull(), F.col(n))])
+        firsts = self.frame.groupBy(*self.by).agg(
+            *[F.min_by(name, F.when(F.col(name).isNotNull(), order)).alias(out) for name, out in outputs.items()]
+        )
+        if self.by:
+            return replace(self, frame=null_safe_join(self.frame, firsts, self.by, "left"))
+        row = firsts.first()
+        literals = {out: F.lit(row[out]).cast(self.frame.schema[name].dataType) for name, out in outputs.items()}
+        return replace(self, frame=self.frame.withColumns(literals))
+
     def _join_tiles(self, frame: DataFrame, carried: DataFrame) -> DataFrame:
         """Attach one row per (group, tile); both sides hash on the same keys."""
-        right = carried.withColumnsRenamed({name: f"_k_{name}" for name in self.keys})
-        same = F.lit(True)
-        for name in self.keys:
-            same = same & F.col(name).eqNullSafe(F.col(f"_k_{name}"))
-        return frame.join(right, same, "left").drop(*[f"_k_{name}" for name in self.keys])
+        return null_safe_join(frame, carried, self.keys, "left")
 
 
 def timeline(
@@ -171,8 +194,8 @@ def timeline(
             tiles = math.ceil(sizes.rows / rows_per_tile)
             ranged = df.repartitionByRange(tiles, *last_nulls([*by, *order]))
             # Staged, so that tile numbers stay what they are when a task is rerun.
-            return Timeline(stage(ranged.withColumn(TILE, F.spark_partition_id())), by, order, True)
-    return Timeline(df.withColumn(TILE, F.lit(0)), by, order, False)
+            return Timeline(stage(ranged.withColumn(TILE, F.spark_partition_id())), by, order, True, rows_per_tile)
+    return Timeline(df.withColumn(TILE, F.lit(0)), by, order, False, rows_per_tile)
 
 
 def warn_dropped(sizes: Sizes, column: str) -> None:

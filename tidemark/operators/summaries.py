@@ -62,11 +62,7 @@ def prediction_stats(forecasts: DataFrame) -> DataFrame:
 
 
 def forecast_summary(forecasts: DataFrame) -> DataFrame:
-    """One row: models, rows, distinct timestamps, time range and sorted target ids.
-
-    Rows first shrink to their distinct (model, timestamp, target) in the map-side
-    aggregate; the distinct counts then run over that.
-    """
+    """One row: models, rows, distinct timestamps, time range and sorted target ids."""
     rows = normalize_report_forecasts(forecasts)
     target = F.col("target_id") if "target_id" in rows.columns else F.lit(None).cast("string")
     return rows.agg(

@@ -6,7 +6,7 @@ timeline only train; each later row is one fold.
 """
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -116,18 +116,22 @@ def expanding_moments(
 ) -> DataFrame:
     """Per fold and column: training count, mean, population deviation and median."""
     walk = open_walk(dataset, min_train_size, by, columns, rows_per_tile)
-    line = expanding_median(walk.line, {name: f"_median_{name}" for name in columns})
+    line = expanding_median(walk.line, {name: f"_median_{name}" for name in columns}, ROW)
+    # Sums of distances from the first value, so that large levels do not cancel.
+    line = line.first_known({name: f"_o_{name}" for name in columns})
     sums = {}
     for name in columns:
+        apart = F.coalesce(F.col(name) - F.col(f"_o_{name}"), F.lit(0.0))
         sums[f"_n_{name}"] = F.when(F.col(name).isNotNull(), 1).otherwise(0).cast("long")
-        sums[f"_s_{name}"] = F.coalesce(F.col(name), F.lit(0.0))
-        sums[f"_q_{name}"] = F.coalesce(F.col(name) * F.col(name), F.lit(0.0))
+        sums[f"_s_{name}"] = apart
+        sums[f"_q_{name}"] = apart * apart
     line = line.running(sums)
     cells = []
     for name in columns:
         n = F.col(f"_n_{name}")
-        mean = F.try_divide(F.col(f"_s_{name}"), n)
-        variance = F.greatest(F.try_divide(F.col(f"_q_{name}"), n) - mean * mean, F.lit(0.0))
+        offset = F.try_divide(F.col(f"_s_{name}"), n)
+        mean = offset + F.col(f"_o_{name}")
+        variance = F.greatest(F.try_divide(F.col(f"_q_{name}"), n) - offset * offset, F.lit(0.0))
         cells.append(
             F.struct(
                 F.lit(name).alias("column_name"),
@@ -182,7 +186,7 @@ def walk_forward_ridge(
     line = walk.line
     medians = [f"_m{i}" for i in range(len(names))]
     if line.split:
-        line = expanding_median(line, dict(zip(names, medians)))
+        line = expanding_median(line, dict(zip(names, medians)), ROW)
     columns = [*line.keys, *DATASET_COLUMNS, *names, ROW, *(medians if line.split else [])]
     rows = line.frame.select(*dict.fromkeys(columns))
     solve = _RidgeFolds(names, medians if line.split else None, min_train_size, alpha, model_name)
@@ -196,18 +200,9 @@ def walk_forward_ridge(
 def _carried_sums(line: Timeline, rows: DataFrame, solve: "_RidgeFolds") -> DataFrame:
     """Per tile the sums over all earlier tiles of its group, and the group's shift."""
     names = ["target_value", *solve.names]
-    first = rows.groupBy(*line.by).agg(
-        F.array(*[F.min_by(n, F.when(F.col(n).isNotNull(), F.col(ROW))) for n in names]).alias("_shift")
-    )
-    if not line.by:
-        shift = first.first()[0]
-        shifted = rows.withColumn("_shift", F.array(*[F.lit(v).cast("double") for v in shift]))
-    else:
-        right = first.withColumnsRenamed({n: f"_g_{n}" for n in line.by})
-        same = F.lit(True)
-        for n in line.by:
-            same = same & F.col(n).eqNullSafe(F.col(f"_g_{n}"))
-        shifted = rows.join(right, same).drop(*[f"_g_{n}" for n in line.by])
+    origins = {name: f"_o{i}" for i, name in enumerate(names)}
+    shifted = replace(line, frame=rows).first_known(origins).frame
+    shifted = shifted.withColumn("_shift", F.array(*origins.values())).drop(*origins.values())
     key_fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name in line.keys)
     totals = shifted.groupBy(*line.keys).applyInPandas(
         solve.tile_totals(line.keys), f"{key_fields}, _shift array<double>, _sums array<double>"
