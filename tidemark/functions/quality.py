@@ -27,9 +27,11 @@ def guard(df: DataFrame, *rules) -> DataFrame:
     """All rows of ``df``; the running job fails on the first row that breaks a rule.
 
     ``rules`` are (condition that must not hold, message). Kept as a filter, since a
-    filter is never pruned away with unused columns.
+    filter is never pruned away with unused columns. The row id, always true here, marks
+    it as non-deterministic: otherwise the optimizer could move it below an earlier
+    filter or join, where it would meet rows those remove.
     """
-    passed = F.lit(True)
+    passed = F.monotonically_increasing_id() >= 0
     for bad, message in reversed(rules):
         passed = fail_when(F.coalesce(bad, F.lit(False)), message, passed)
     return df.where(passed)

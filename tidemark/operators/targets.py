@@ -53,9 +53,10 @@ def mom_target(
     rules = [(F.col("date").isNull(), "date cannot be missing.")]
     if strict:
         rules.append((F.col("release_date").isNull(), "strict targets require release_date on every observation."))
-    rows = Q.guard(rows, *rules)
-
     series = ["series_id", "source"]
+    # Both uses below start from this one shuffle, so the observations are scanned once.
+    rows = Q.guard(rows, *rules).dropna(subset=[*series, "date"]).repartition(*series, "date")
+
     in_date = Window.partitionBy(*series, "date").orderBy(F.col("release_date").asc_nulls_last())
     vintages = rows.withColumns(
         {
