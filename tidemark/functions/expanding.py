@@ -5,7 +5,7 @@ from dataclasses import replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -192,5 +192,7 @@ def _ranked(df: DataFrame, column: str, k: int, n: int, limit: int) -> float:
             # Heavy ties: count copies per distinct value instead.
             break
         inside, below, size = inside.where((F.col("v") >= low) & (F.col("v") <= high)), below + lower, within
+    # At most `limit` distinct values are left, so one ordered task may count through them.
     copies = inside.groupBy("v").agg(F.count(F.lit(1)).alias("copies"))
-    return copies.agg(F.percentile("v", (k - below) / max(size - 1, 1), "copies")).first()[0]
+    upto = F.sum("copies").over(Window.orderBy("v"))
+    return copies.withColumn("upto", upto).where(F.col("upto") > k - below).agg(F.min("v")).first()[0]
