@@ -17,7 +17,7 @@ MISSING_TEXTS = [".", ""]
 
 
 def null_if_nan(value: Column) -> Column:
-    return F.when(~F.isnan(value), value)
+    return F.nanvl(value, F.lit(None).cast("double"))
 
 
 def fail_when(bad: Column, message, value: Column) -> Column:
@@ -26,6 +26,18 @@ def fail_when(bad: Column, message, value: Column) -> Column:
     return F.when(bad, F.raise_error(text)).otherwise(value)
 
 
+def parsed_or_fail(parsed: Column, raw: Column, label: str, excused: Column | None = None) -> Column:
+    """``parsed``, or an error where text is there but could not be parsed.
+
+    Blank counts as missing. The error is the second choice of a coalesce, so that the
+    parse runs once per row and the test only where it gave nothing.
+    """
+    bad = raw.isNotNull() & (F.trim(raw.cast("string")) != "")
+    if excused is not None:
+        bad = bad & ~excused
+    return F.coalesce(parsed, F.when(bad, F.raise_error(F.concat(F.lit(label), raw.cast("string")))))
+
+
 def _is_text(df: DataFrame, name: str) -> bool:
     return isinstance(df.schema[name].dataType, T.StringType)
 
@@ -39,8 +51,7 @@ def number(df: DataFrame, name: str, strict: bool = False) -> Column:
     parsed = null_if_nan(F.when(text.rlike(NUMBER_TEXT), text.try_cast("double")))
     if not strict:
         return parsed
-    bad = (text != "") & ~text.rlike(NUMBER_TEXT)
-    return fail_when(bad, F.concat(F.lit(f"{name} is not a number: "), raw), parsed)
+    return parsed_or_fail(parsed, raw, f"{name} is not a number: ", text.rlike(NUMBER_TEXT))
 
 
 def day(df: DataFrame, name: str, strict: bool = True) -> Column:
@@ -50,12 +61,15 @@ def day(df: DataFrame, name: str, strict: bool = True) -> Column:
     if isinstance(kind, T.DateType):
         return raw
     text = F.trim(raw) if _is_text(df, name) else raw
-    moment = text.try_cast("timestamp")
+    label = f"{name} is not a plain date: "
     parsed = text.try_cast("date")
-    shown = F.concat(F.lit(f"{name} is not a plain date: "), raw.cast("string"))
+    if strict:
+        parsed = parsed_or_fail(parsed, raw, label)
+    moment = text.try_cast("timestamp")
     has_time = moment != F.date_trunc("day", moment)
-    bad = has_time if not strict else has_time | unreadable(raw, parsed)
-    return fail_when(bad, shown, parsed)
+    if _is_text(df, name):
+        has_time = (F.length(text) > len("yyyy-MM-dd")) & has_time
+    return fail_when(has_time, F.concat(F.lit(label), raw.cast("string")), parsed)
 
 
 def moment(df: DataFrame, name: str, strict: bool = True) -> Column:
@@ -65,15 +79,7 @@ def moment(df: DataFrame, name: str, strict: bool = True) -> Column:
     if isinstance(kind, T.TimestampType):
         return raw
     parsed = (F.trim(raw) if _is_text(df, name) else raw).try_cast("timestamp")
-    if not strict:
-        return parsed
-    shown = F.concat(F.lit(f"{name} is not a timestamp: "), raw.cast("string"))
-    return fail_when(unreadable(raw, parsed), shown, parsed)
-
-
-def unreadable(raw: Column, parsed: Column) -> Column:
-    """Text is there but could not be parsed (blank counts as missing)."""
-    return raw.isNotNull() & (F.trim(raw.cast("string")) != "") & parsed.isNull()
+    return parsed_or_fail(parsed, raw, f"{name} is not a timestamp: ") if strict else parsed
 
 
 def vendor_number(text: Column) -> Column:
@@ -84,11 +90,12 @@ def vendor_number(text: Column) -> Column:
 
 
 def release_date_key(release_date: Column) -> Column:
-    return F.coalesce(F.date_format(release_date, "yyyy-MM-dd"), F.lit(MISSING_RELEASE_KEY))
+    return F.coalesce(release_date.cast("string"), F.lit(MISSING_RELEASE_KEY))
 
 
 def month_key(value: Column) -> Column:
-    return F.date_format(value, "yyyy-MM")
+    """``YYYY-MM`` of a date."""
+    return F.substring(value.cast("date").cast("string"), 1, 7)
 
 
 def reference_period(df: DataFrame, name: str = "reference_period") -> Column:
