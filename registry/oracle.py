@@ -235,15 +235,17 @@ ORACLE: dict[str, str] = {
         "obs",
     ),
     "normalize_fred": _with(
-        """SELECT series_id, date, value, source,
-                  CASE WHEN max(release_date) OVER (PARTITION BY series_id, l_orderkey // 64) IS NOT NULL
-                       THEN release_date ELSE DATE '2026-01-01' END AS release_date
+        """SELECT series_id, date, value, source, coalesce(release_date, DATE '2026-01-01') AS release_date
+           FROM obs WHERE source = 'fred'
+           UNION ALL
+           SELECT series_id, CAST(date + INTERVAL 1 MONTH AS DATE), NULL, source,
+                  CASE WHEN release_date IS NULL THEN DATE '2026-01-01' END
            FROM obs WHERE source = 'fred'""",
         "obs",
     ),
     "fred_release_date": _with(
         """SELECT series_id, date, value,
-                  CASE l_orderkey // 64 % 3 WHEN 0 THEN release_date WHEN 1 THEN DATE '2020-02-02'
+                  CASE l_orderkey % 3 WHEN 0 THEN release_date WHEN 1 THEN DATE '2020-02-02'
                        ELSE DATE '2026-01-01' END AS release_date
            FROM obs WHERE source = 'fred' AND release_date IS NOT NULL""",
         "obs",
@@ -251,7 +253,9 @@ ORACLE: dict[str, str] = {
     "merge_vintage_chunks": _with(f"SELECT DISTINCT {OBS6} FROM obs", "obs"),
     "union_distinct_chunks": _with("SELECT DISTINCT series_id, source, date, release_date FROM obs", "obs"),
     "normalize_bls": _with(
-        "SELECT series_id, date, value, source, CAST(NULL AS DATE) AS release_date FROM obs WHERE source = 'bls'", "obs"
+        """SELECT series_id, date, value, source, CAST(NULL AS DATE) AS release_date FROM obs WHERE source = 'bls'
+           UNION ALL SELECT series_id, CAST(date + INTERVAL 1 MONTH AS DATE), NULL, source, NULL FROM obs WHERE source = 'bls'""",
+        "obs",
     ),
     "validate_calendar": _with("SELECT * FROM cal", "cal"),
     "calendar_violations": _with(

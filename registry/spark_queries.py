@@ -167,39 +167,34 @@ def enrich_series(spark, sf_dir):
 # Payloads.
 
 
-def _chunks():
-    """Responses of bounded size: an order range per series."""
-    return [F.col("series_id"), F.floor(F.col("l_orderkey") / 64).alias("chunk")]
+def _response(rows, *observations):
+    """One response per row, stating 2026-01-01 as its own start."""
+    body = F.struct(F.lit("2026-01-01").alias("realtime_start"), F.array(*observations).alias("observations"))
+    return rows.withColumn("payload", F.to_json(body)).withColumn("fetched_at", F.lit("2026-01-01").cast("timestamp"))
 
 
-def _response(rows, sent, start="2026-01-01"):
-    observations = F.collect_list(F.struct(*sent))
-    payload = F.to_json(F.struct(F.lit(start).alias("realtime_start"), observations.alias("observations")))
-    return rows.groupBy(*_chunks()).agg(payload.alias("payload")).withColumn("fetched_at", F.lit("2026-01-01").cast("timestamp"))
-
-
-def _sent(value_missing="."):
-    return [
-        F.col("date").cast("string").alias("date"),
-        F.coalesce(F.col("value").cast("string"), F.lit(value_missing)).alias("value"),
-    ]
+def _sent(date, value, released):
+    return F.struct(
+        released.cast("string").alias("realtime_start"), date.cast("string").alias("date"), value.cast("string").alias("value")
+    )
 
 
 @query
 def normalize_fred(spark, sf_dir):
+    """Each response holds an observation and a following one without value or date."""
     rows = A.obs(spark, sf_dir).where("source = 'fred'")
-    released = F.col("release_date").cast("string").alias("realtime_start")
-    landed = _response(rows, [released, *_sent()])
-    return payloads.normalize_fred(landed).drop("fetched_at")
+    own = _sent(F.col("date"), F.col("value"), F.col("release_date"))
+    following = _sent(F.add_months("date", 1), F.lit("."), F.lit(None))
+    return payloads.normalize_fred(_response(rows, own, following)).drop("fetched_at")
 
 
 @query
 def fred_release_date(spark, sf_dir):
-    """All three vintage modes, by response: own dates, requested start, stated start."""
+    """All three vintage modes: own dates, requested start, stated start."""
     rows = A.obs(spark, sf_dir).where("source = 'fred' and release_date is not null")
-    kind = F.col("chunk") % 3
-    released = F.when(F.floor(F.col("l_orderkey") / 64) % 3 == 0, F.col("release_date").cast("string"))
-    landed = _response(rows, [released.alias("realtime_start"), *_sent("")])
+    kind = F.col("l_orderkey") % 3
+    own = _sent(F.col("date"), F.col("value"), F.when(kind == 0, F.col("release_date")))
+    landed = _response(rows, own)
     landed = landed.withColumn("vintage_mode", F.when(kind == 0, "initial_release").when(kind == 1, "realtime_period"))
     landed = landed.withColumn("request_realtime_start", F.when(kind == 1, "2020-02-02"))
     return payloads.normalize_fred(landed).select("series_id", "date", "value", "release_date")
@@ -223,17 +218,23 @@ def union_distinct_chunks(spark, sf_dir):
 
 @query
 def normalize_bls(spark, sf_dir):
+    """Each response holds another series, and two months of the requested one."""
     rows = A.obs(spark, sf_dir).where("source = 'bls'")
-    sent = F.struct(
-        F.date_format("date", "yyyy").alias("year"),
-        F.concat(F.lit("M"), F.date_format("date", "MM")).alias("period"),
-        F.coalesce(F.col("value").cast("string"), F.lit("not_available")).alias("value"),
+
+    def sent(date, value):
+        return F.struct(
+            F.year(date).cast("string").alias("year"),
+            F.concat(F.lit("M"), F.lpad(F.month(date).cast("string"), 2, "0")).alias("period"),
+            value.alias("value"),
+        )
+
+    data = F.array(
+        sent(F.col("date"), F.col("value").cast("string")), sent(F.add_months("date", 1), F.lit("not_available"))
     )
-    grouped = rows.groupBy(*_chunks()).agg(F.collect_list(sent).alias("data"))
-    other = F.struct(F.lit("other").alias("seriesID"), F.slice("data", 1, 1).alias("data"))
-    wanted = F.struct(F.col("series_id").alias("seriesID"), F.col("data"))
+    other = F.struct(F.lit("other").alias("seriesID"), F.slice(data, 1, 1).alias("data"))
+    wanted = F.struct(F.col("series_id").alias("seriesID"), data.alias("data"))
     body = F.struct(F.struct(F.array(other, wanted).alias("series")).alias("Results"))
-    landed = grouped.select("series_id", F.to_json(body).alias("payload"), F.lit("2026-01-01").cast("timestamp").alias("fetched_at"))
+    landed = rows.select("series_id", F.to_json(body).alias("payload"), "fetched_at")
     return payloads.normalize_bls(landed).drop("fetched_at")
 
 

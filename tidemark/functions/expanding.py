@@ -145,6 +145,7 @@ def _tile_medians(rows: pd.DataFrame, prefix: pd.DataFrame, columns: Sequence[st
 
 
 EXACT_ROWS = 1_000_000
+COLUMNS_PER_JOB = 8
 
 
 def exact_medians(df: DataFrame, columns: Sequence[str], exact_rows: int | None = None) -> dict[str, float | None]:
@@ -158,9 +159,11 @@ def exact_medians(df: DataFrame, columns: Sequence[str], exact_rows: int | None
     counts = df.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(columns)]).first()
     small = [c for c, n in zip(columns, counts) if 0 < n <= limit]
     medians: dict[str, float | None] = {c: None for c in columns}
-    if small:
-        row = df.agg(*[F.percentile(c, 0.5).alias(f"m{i}") for i, c in enumerate(small)]).first()
-        medians.update(zip(small, row))
+    # A few columns per job: an exact percentile keeps a column's distinct values.
+    for a in range(0, len(small), COLUMNS_PER_JOB):
+        part = small[a : a + COLUMNS_PER_JOB]
+        row = df.agg(*[F.percentile(c, 0.5).alias(f"m{i}") for i, c in enumerate(part)]).first()
+        medians.update(zip(part, row))
     for c, n in zip(columns, counts):
         if n > limit:
             low, high = (_ranked(df, c, k, n, limit) for k in ((n - 1) // 2, n // 2))

@@ -2,15 +2,15 @@
 
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.ordered import timeline
 from tidemark.operators.supervised import fit_boosted, score_boosted
 from tidemark.operators.walkforward import open_walk
-from tidemark.schemas import DATASET_COLUMNS, FORECAST_COLUMNS, feature_columns
-from tidemark.session import stage
+from tidemark.schemas import DATASET_COLUMNS, FORECAST_COLUMNS, FORECASTS, feature_columns
+from tidemark.session import stage, stage_path
 
 
 def walk_forward_boosted(
@@ -41,22 +41,24 @@ def walk_forward_boosted(
         ).withColumn("_y", F.col("target_value"))
     )
     folds = rows.where("fold_number >= 1")
-    # Distinct forecast times, at most one per calendar day for released targets.
-    times = [r[0] for r in folds.select("forecast_timestamp").distinct().sort("forecast_timestamp").collect()]
-    starts = times[::refit_every]
+    # Only the first time of each block reaches the driver: one per model to fit.
+    times = timeline(folds.select("forecast_timestamp").distinct(), (), ["forecast_timestamp"]).number("n").rows()
+    firsts = times.where((F.col("n") - 1) % refit_every == 0).select("forecast_timestamp").collect()
+    starts = sorted(r[0] for r in firsts)
 
-    def forecast(i: int) -> DataFrame:
+    def forecast(i: int) -> str:
         at = F.col("forecast_timestamp")
         train = rows.where(at < F.lit(starts[i]))
         block = folds.where(at >= F.lit(starts[i]))
         if i + 1 < len(starts):
             block = block.where(at < F.lit(starts[i + 1]))
         scored = score_boosted(fit_boosted(train, names, **params), block)
-        return stage(
+        return stage_path(
             scored.withColumn("actual", F.col("target_value"))
             .withColumn("model_name", F.lit(model_name))
             .select(*FORECAST_COLUMNS)
         )
 
     with ThreadPoolExecutor(max(1, parallelism)) as pool:
-        return reduce(DataFrame.unionByName, pool.map(forecast, range(len(starts))))
+        paths = list(pool.map(forecast, range(len(starts))))
+    return dataset.sparkSession.read.schema(FORECASTS).parquet(*paths)

@@ -46,7 +46,11 @@ def stage(df: DataFrame) -> DataFrame:
     Cuts lineage, so a lost executor costs a re-read and not a recomputation, and
     gives later plans exact sizes to choose joins from.
     """
-    spark = df.sparkSession
-    path = f"{staging_root(spark).rstrip('/')}/staged-{uuid.uuid4().hex}"
+    return df.sparkSession.read.schema(df.schema).parquet(stage_path(df))
+
+
+def stage_path(df: DataFrame) -> str:
+    """Write ``df`` once to the shared folder and return where."""
+    path = f"{staging_root(df.sparkSession).rstrip('/')}/staged-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
