@@ -56,7 +56,7 @@ def test_repeats_inside_a_batch_count_in_order(spark, store):
 
 
 def test_only_touched_partitions_are_rewritten(spark, store, tmp_path):
-    files = lambda: {p: p.stat().st_mtime_ns for p in (tmp_path / "store").rglob("*.parquet")}
+    files = lambda: {p: p.stat().st_mtime_ns for p in (tmp_path / "store" / "observations").rglob("*.parquet")}
     store.upsert(batch(spark).unionByName(batch(spark, date="2021-01-01")).unionByName(batch(spark, source="bls")))
     before = files()
     store.upsert(batch(spark, 1.0))
@@ -83,7 +83,15 @@ def test_read_and_coverage(spark, store):
     found = {r.source: r.missing_release_date_count for r in store.coverage().collect()}
     assert found == {"fred": 0, "bls": 1}
     plan = store.read("fred", "CPIAUCSL")._jdf.queryExecution().toString()
-    assert "PartitionFilters: [isnotnull(source" in plan and "EqualTo(series_id,CPIAUCSL)" in plan
+    scan = next(line for line in plan.splitlines() if "FileScan" in line)
+    filters = scan.split("PartitionFilters: [")[1].split("]")[0]
+    assert "source" in filters and "series_bucket" in filters and "EqualTo(series_id,CPIAUCSL)" in scan
+
+
+def test_bucket_count_is_a_property_of_the_table(spark, store):
+    store.upsert(batch(spark).unionByName(batch(spark, series="UNRATE")))
+    again = ObservationStore(spark, store.layout_path.removesuffix("/layout"), buckets=3)
+    assert again.buckets == 8 and again.read(series_id=["UNRATE", "CPIAUCSL"]).count() == 2
 
 
 def test_run_log(spark, store):

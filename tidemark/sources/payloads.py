@@ -56,19 +56,25 @@ def normalize_fred(landed: DataFrame, merge_chunks: bool = False) -> DataFrame:
         _optional(landed, "request_realtime_start").alias("requested"),
         F.from_json("payload", FRED_PAYLOAD).alias("p"),
     )
-    checked = Q.guard(
-        parsed,
-        (~F.col("mode").isin(VINTAGE_MODES), F.concat(F.lit("Unsupported vintage_mode: "), "mode")),
-        (F.col("p.observations").isNull(), F.concat(F.lit("FRED response without observations for "), "series_id")),
+    # Checked in the projection and exploded as outer, so that no derived filter makes
+    # Spark parse the JSON a second time.
+    observations = (
+        F.when(~F.col("mode").isin(VINTAGE_MODES), F.raise_error(F.concat(F.lit("Unsupported vintage_mode: "), "mode")))
+        .when(
+            F.col("p.observations").isNull(),
+            F.raise_error(F.concat(F.lit("FRED response without observations for "), "series_id")),
+        )
+        .otherwise(F.col("p.observations"))
     )
-    rows = checked.select(
+    exploded = parsed.select(
         "series_id",
         "fetched_at",
         "mode",
         F.coalesce("requested", "p.realtime_start").alias("stated"),
         F.exists("p.observations", lambda o: o["realtime_start"].isNotNull()).alias("dated"),
-        F.explode("p.observations").alias("o"),
-    ).select("series_id", "fetched_at", "o.date", "o.value", fred_release_date().alias("release_date"))
+        F.explode_outer(observations).alias("o"),
+    ).where("o is not null")
+    rows = exploded.select("series_id", "fetched_at", "o.date", "o.value", fred_release_date().alias("release_date"))
     typed = rows.select(
         "series_id",
         S.day(rows, "date").alias("date"),
@@ -130,23 +136,27 @@ def normalize_bls(landed: DataFrame) -> DataFrame:
         s["seriesId"] == F.col("series_id"),
         F.lit(False),
     )
-    picked = parsed.withColumn("entry", F.try_element_at(F.filter("series", named), F.lit(1)))
-    checked = Q.guard(
-        picked,
-        (F.coalesce(F.size("series"), F.lit(0)) <= 0, "BLS response without Results.series."),
-        (F.col("entry").isNull(), F.concat(F.lit("BLS response without requested series "), "series_id")),
-        (F.col("entry")["data"].isNull(), F.concat(F.lit("BLS response without data for "), "series_id")),
-    )
-    rows = checked.select(
-        "series_id", "fetched_at", F.explode(F.from_json(F.col("entry")["data"], BLS_DATA)).alias("o")
+    picked = parsed.select(
+        "series_id", "fetched_at", "series", F.try_element_at(F.filter("series", named), F.lit(1)).alias("entry")
     )
-    complete = Q.guard(
-        rows,
-        (F.col("o.year").isNull() | F.col("o.period").isNull(), "BLS observation without year or period."),
+    asked = lambda text: F.raise_error(F.concat(F.lit(text), "series_id"))
+    data = (
+        F.when(F.coalesce(F.size("series"), F.lit(0)) <= 0, asked("BLS response without Results.series for "))
+        .when(F.col("entry").isNull(), asked("BLS response without requested series "))
+        .when(F.col("entry")["data"].isNull(), asked("BLS response without data for "))
+        .otherwise(F.col("entry")["data"])
     )
-    return complete.select(
+    listed = picked.select("series_id", "fetched_at", F.from_json(data, BLS_DATA).alias("data"))
+    readable = F.coalesce("data", asked("BLS response with unreadable data for "))
+    exploded = listed.select("series_id", "fetched_at", F.explode_outer(readable).alias("o")).where("o is not null")
+    incomplete = F.col("o.year").isNull() | F.col("o.period").isNull()
+    return exploded.select(
         "series_id",
-        bls_period_to_date(F.col("o.year"), F.col("o.period")).alias("date"),
+        S.fail_when(
+            incomplete,
+            "BLS observation without year or period.",
+            bls_period_to_date(F.col("o.year"), F.col("o.period")),
+        ).alias("date"),
         S.vendor_number(F.col("o.value")).alias("value"),
         F.lit("bls").alias("source"),
         F.lit(None).cast("date").alias("release_date"),

@@ -1,7 +1,8 @@
 """The observation table and its ingestion log as Parquet folders.
 
-Observations are partitioned by source and year of the period, and a merge rewrites only
-the partitions its batch touches. Runs are an append-only table of events; the state of
+Observations are partitioned by source, year of the period and a hash bucket of the
+series. A merge rewrites only the partitions its batch touches, which for the usual batch
+of one series is one bucket of a few years. Runs are an append-only table of events; the state of
 a run is its latest event. Both expect one writer at a time.
 """
 
@@ -11,7 +12,7 @@ from datetime import UTC, datetime
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,9 +39,11 @@ STORED = T.StructType(
         *OBSERVATIONS.fields,
         T.StructField("release_date_key", T.StringType()),
         T.StructField("period_year", T.IntegerType()),
+        T.StructField("series_bucket", T.IntegerType()),
     ]
 )
-PARTITIONS = ["source", "period_year"]
+PARTITIONS = ["source", "period_year", "series_bucket"]
+LAYOUT = T.StructType([T.StructField("buckets", T.IntegerType(), False)])
 
 
 def coerce_observations(observations: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
@@ -139,12 +142,22 @@ def get_run(runs: DataFrame, run_id: int) -> DataFrame:
 
 
 class ObservationStore:
-    """Observations and ingestion runs under one folder."""
+    """Observations and ingestion runs under one folder.
 
-    def __init__(self, spark: SparkSession, path: str):
+    ``buckets`` is fixed by the first write; raise it for tables with many series.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 8):
         self.spark = spark
-        self.observations_path = f"{path.rstrip('/')}/observations"
-        self.runs_path = f"{path.rstrip('/')}/ingestion_runs"
+        base = path.rstrip("/")
+        self.observations_path = f"{base}/observations"
+        self.runs_path = f"{base}/ingestion_runs"
+        self.layout_path = f"{base}/layout"
+        written = self._table(self.layout_path, LAYOUT).first()
+        self.buckets = written.buckets if written else buckets
+
+    def _bucket(self, series: Column) -> Column:
+        return F.pmod(F.xxhash64(series), F.lit(self.buckets)).cast("int")
 
     def _table(self, path: str, schema: T.StructType) -> DataFrame:
         try:
@@ -158,8 +171,12 @@ class ObservationStore:
         return self._table(self.observations_path, STORED)
 
     def read(self, source: str | None = None, series_id=None, ordered: bool = False) -> DataFrame:
-        """Observations; ``source`` prunes partitions, ``series_id`` reaches the files."""
-        rows = filter_series(self.stored(), series_id, source).select(*OBSERVATION_COLUMNS)
+        """Observations; ``source`` and ``series_id`` prune partitions and reach the files."""
+        rows = filter_series(self.stored(), series_id, source)
+        if series_id is not None:
+            wanted = [series_id] if isinstance(series_id, str) else series_id
+            rows = rows.where(F.col("series_bucket").isin([self._bucket(F.lit(s)) for s in wanted]))
+        rows = rows.select(*OBSERVATION_COLUMNS)
         return rows.orderBy("source", "series_id", "date", "release_date") if ordered else rows
 
     def coverage(self, source: str | None = None, series_id: str | None = None) -> DataFrame:
@@ -190,13 +207,25 @@ class ObservationStore:
 
     def _touched(self, batch: DataFrame) -> DataFrame:
         """Stored rows of the partitions the batch falls into, by a static partition filter."""
-        years = batch.groupBy("source").agg(F.collect_set(F.year("date")).alias("years")).collect()
-        hit = [(F.col("source") == r.source) & F.col("period_year").isin(r.years) for r in years]
+        parts = batch.select("source", F.year("date").alias("y"), self._bucket(F.col("series_id")).alias("b"))
+        years = parts.groupBy("source", "b").agg(F.collect_set("y").alias("years")).collect()
+        hit = [
+            (F.col("source") == r.source) & (F.col("series_bucket") == r.b) & F.col("period_year").isin(r.years)
+            for r in years
+        ]
         return self.stored().where(reduce(lambda a, b: a | b, hit, F.lit(False)))
 
     def _write(self, rows: DataFrame, mode: str) -> None:
+        if self._table(self.layout_path, LAYOUT).isEmpty():
+            layout = self.spark.createDataFrame([(self.buckets,)], LAYOUT)
+            layout.coalesce(1).write.mode("append").parquet(self.layout_path)
         # Rebalancing groups files by partition and splits a partition that is large.
-        placed = rows.select(*OBSERVATION_COLUMNS, "release_date_key", F.year("date").alias("period_year"))
+        placed = rows.select(
+            *OBSERVATION_COLUMNS,
+            "release_date_key",
+            F.year("date").alias("period_year"),
+            self._bucket(F.col("series_id")).alias("series_bucket"),
+        )
         (
             placed.hint("rebalance", *PARTITIONS)
             .write.mode(mode)
