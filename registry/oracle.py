@@ -433,6 +433,12 @@ ORACLE: dict[str, str] = {
             FROM fc m JOIN naive n USING ({KEYS3})""",
         "fc",
     ),
+    "normalize_forecasts": _with("SELECT * REPLACE (round(prediction, 6) AS prediction) FROM fc", "fc"),
+    "normalize_report_inputs": _with(
+        """SELECT * REPLACE (round(prediction, 6) AS prediction, CASE WHEN fold_number % 5 <> 0 THEN actual END AS actual)
+           FROM fc""",
+        "fc",
+    ),
     "key_set_diff": _with(f"SELECT {KEYS3}, 'model' AS missing_from FROM naive WHERE fold_number <= 6", "naive"),
     "compare_to_naive": _with(
         """SELECT round(r.rmse, 6) AS model_rmse, round(n.rmse, 6) AS naive_rmse, round(n.rmse - r.rmse, 6) AS rmse_improvement,

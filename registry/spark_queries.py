@@ -546,6 +546,14 @@ def align_strict(spark, sf_dir):
     return rounded(aligned, "prediction_model", "prediction_naive")
 
 
+@query
+def normalize_forecasts(spark, sf_dir):
+    """Forecasts read back as text, typed again; keys unique per model."""
+    text = naive_and_ridge(spark, sf_dir)
+    text = text.withColumns({c: F.col(c).cast("string") for c in [*metrics.LOOSE_KEYS, "actual", "prediction"]})
+    return rounded(metrics.normalize_forecasts(text, ["model_name", *metrics.ALIGNMENT_KEYS]), "prediction")
+
+
 @query
 def key_set_diff(spark, sf_dir):
     rows = stage(one_feature(spark, sf_dir))
@@ -615,6 +623,15 @@ def plot_ready_forecasts(spark, sf_dir):
     return rounded(ready, "prediction")
 
 
+@query
+def normalize_report_inputs(spark, sf_dir):
+    """Forecasts as text with unreadable numbers, which become missing."""
+    text = naive_and_ridge(spark, sf_dir)
+    spoilt = F.when(F.col("fold_number") % 5 == 0, "n/a").otherwise(F.col("actual").cast("string"))
+    text = text.withColumns({"actual": spoilt, "prediction": F.col("prediction").cast("string")})
+    return rounded(summaries.normalize_report_forecasts(text), "prediction")
+
+
 @query
 def actuals_series(spark, sf_dir):
     return rounded(summaries.actuals_series(naive_and_ridge(spark, sf_dir)), "y")

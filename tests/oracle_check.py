@@ -4,7 +4,7 @@ import math
 import os
 import sys
 import time
-from datetime import date, datetime
+from datetime import datetime
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -33,12 +33,22 @@ def plain(value):
 
 
 def table(columns, rows):
+    """Columns by name; rows sorted by everything but floats first, floats last."""
     order = sorted(range(len(columns)), key=lambda i: columns[i])
-    return [columns[i] for i in order], sorted(repr(tuple(plain(r[i]) for i in order)) for r in rows)
+    plain_rows = [[plain(r[i]) for i in order] for r in rows]
 
+    def key(row):
+        exact = [repr(v) for v in row if not isinstance(v, float)]
+        return exact, [v for v in row if isinstance(v, float)]
 
-def kind(value):
-    return "date" if isinstance(value, date) and not isinstance(value, datetime) else type(value).__name__
+    return [columns[i] for i in order], sorted(plain_rows, key=key)
+
+
+def same(a, b):
+    """Equal; floats up to one unit of the sixth decimal, where a mean can sit on a tie."""
+    if isinstance(a, float) and isinstance(b, float):
+        return a == b or math.isclose(a, b, rel_tol=1e-12, abs_tol=1.5e-6)
+    return type(a) is type(b) and a == b
 
 
 def compare(spark_df, con, sql):
@@ -52,8 +62,8 @@ def compare(spark_df, con, sql):
         return f"columns {left[0]} != {right[0]}"
     if len(left[1]) != len(right[1]):
         return f"rows {len(left[1])} != {len(right[1])}"
-    if left[1] != right[1]:
-        pairs = [(a, b) for a, b in zip(left[1], right[1]) if a != b]
+    pairs = [(a, b) for a, b in zip(left[1], right[1]) if not all(map(same, a, b))]
+    if pairs:
         return f"{len(pairs)} of {len(left[1])} rows differ, first {pairs[0]}"
     return None if rows else "no rows"
 

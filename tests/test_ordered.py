@@ -39,6 +39,15 @@ def test_tiles_bound_the_largest_task(hot):
     assert split.frame.groupBy("k", "_tile").count().agg(F.max("count")).first()[0] < 250
 
 
+def test_full_copies_are_split_too(spark):
+    copies = spark.range(600).select(F.lit("k").alias("k"), F.lit(1).alias("t"), F.lit(2.0).alias("v"))
+    split = timeline(copies, ["k"], ["t"], rows_per_tile=100)
+    assert split.frame.groupBy("_tile").count().agg(F.max("count")).first()[0] < 300
+    numbered = split.number("n").running({"s": F.col("v")}).rows()
+    assert sorted(r.n for r in numbered.collect()) == list(range(1, 601))
+    assert numbered.agg(F.max("s")).first()[0] == 1198.0 and numbered.columns == ["k", "t", "v", "n", "s"]
+
+
 def test_measure_counts_once(hot):
     sizes = measure(hot, ["k"], "v")
     assert (sizes.rows, sizes.dropped) == (720, 180) and sizes.largest_group == 480

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from tidemark.session import stage
 
 TILE = "_tile"
+TIE = "_tie"
 HALO = "_halo"
 ROWS_PER_TILE = 1_000_000
 
@@ -80,7 +81,7 @@ class Timeline:
         return Window.partitionBy(*self.by).orderBy(TILE)
 
     def rows(self) -> DataFrame:
-        return self.frame.drop(TILE)
+        return self.frame.drop(TILE, TIE)
 
     def look_back(self, rows: int, make: Callable) -> "Timeline":
         """Add ``make(window)`` columns that read at most ``rows`` rows back."""
@@ -191,9 +192,12 @@ def timeline(
     if not bounded:
         sizes = sizes or measure(df, by)
         if sizes.largest_group > rows_per_tile:
+            # Row ids split rows that are equal in order, even full copies. Ids and tiles are
+            # staged, so that they stay what they are when a task is rerun.
+            numbered = stage(df.withColumn(TIE, F.monotonically_increasing_id()))
+            order = (*order, TIE)
             tiles = math.ceil(sizes.rows / rows_per_tile)
-            ranged = df.repartitionByRange(tiles, *last_nulls([*by, *order]))
-            # Staged, so that tile numbers stay what they are when a task is rerun.
+            ranged = numbered.repartitionByRange(tiles, *last_nulls([*by, *order]))
             return Timeline(stage(ranged.withColumn(TILE, F.spark_partition_id())), by, order, True, rows_per_tile)
     return Timeline(df.withColumn(TILE, F.lit(0)), by, order, False, rows_per_tile)
 
