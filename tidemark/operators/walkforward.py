@@ -201,7 +201,7 @@ def _carried_sums(line: Timeline, rows: DataFrame, solve: "_RidgeFolds") -> Data
     """Per tile the sums over all earlier tiles of its group, and the group's shift."""
     names = ["target_value", *solve.names]
     origins = {name: f"_o{i}" for i, name in enumerate(names)}
-    shifted = replace(line, frame=rows).first_known(origins).frame
+    shifted = replace(line, frame=rows, order=(ROW,)).first_known(origins).frame
     shifted = shifted.withColumn("_shift", F.array(*origins.values())).drop(*origins.values())
     key_fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name in line.keys)
     totals = shifted.groupBy(*line.keys).applyInPandas(
