@@ -1,9 +1,12 @@
 """The registered queries of this subpackage and their SQL."""
 
-from tidemark.llm import ppm
+from tidemark.llm import bpe, ppm, setsketch, warc
 
 QUERIES = {
+    "op3_minhash": setsketch.query,
+    "op4_warc": warc.query,
+    "op5_bpe": bpe.query,
     "op10_language_id": ppm.query,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op4_warc": warc.ORACLE}

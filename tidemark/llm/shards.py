@@ -87,19 +87,26 @@ def unpack(rows: list[bytes], *kinds: str) -> list[np.ndarray]:
     return [np.concatenate(x) if x else np.empty(0, k) for x, k in zip(out, kinds, strict=True)]
 
 
+def runs(values: np.ndarray):
+    """(start, end) of each run of equal values."""
+    if not len(values):
+        return []
+    starts = np.flatnonzero(np.r_[True, values[1:] != values[:-1]])
+    return list(zip(starts.tolist(), [*starts[1:].tolist(), len(values)], strict=True))
+
+
 def cut(bits: int, by: np.ndarray, *arrays: np.ndarray) -> pa.RecordBatch:
     """Packed rows by shard; ``by`` holds sorted keys whose top bits number the shard."""
     shard = (by >> np.uint64(64 - bits)).astype(np.int32)
-    edges = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]]) if len(shard) else np.empty(0, int)
-    ends = np.r_[edges[1:], len(shard)]
-    rows = [pack(*(a[i:j] for a in arrays)) for i, j in zip(edges, ends, strict=True)]
-    return pa.RecordBatch.from_arrays([pa.array(shard[edges], pa.int32()), pa.array(rows, pa.binary())], schema=_BLOCK)
+    parts = runs(shard)
+    rows = [pack(*(a[i:j] for a in arrays)) for i, j in parts]
+    return pa.RecordBatch.from_arrays([pa.array([shard[i] for i, _ in parts], pa.int32()), pa.array(rows, pa.binary())], schema=_BLOCK)
 
 
 def reduce_shards(blocks: DataFrame, function, schema: str) -> DataFrame:
     """``function(shard, packed rows) -> record batch`` for each shard."""
 
-    def run(key, table: pa.Table) -> pa.Table:
+    def run(key, table):
         made = function(key[0].as_py(), table.column("data").to_pylist())
         return pa.Table.from_batches([made])
 
@@ -152,8 +159,7 @@ class Mapped:
         found = np.zeros(len(keys), bool)
         out: list[np.ndarray | None] = [None] * len(names)
         shard = (keys >> np.uint64(64 - self.bits)).astype(np.int64)
-        edges = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]]) if len(keys) else np.empty(0, int)
-        for i, j in zip(edges, np.r_[edges[1:], len(keys)], strict=True):
+        for i, j in runs(shard):
             have = self.array(self.key, int(shard[i]))
             if not len(have):
                 continue
