@@ -1,12 +1,14 @@
 """The registered queries of this subpackage and their SQL."""
 
-from tidemark.llm import bpe, ppm, setsketch, warc
+from tidemark.llm import bpe, ppm, seeds, setsketch, suffix, warc
 
 QUERIES = {
+    "op2_suffix_array": suffix.query,
     "op3_minhash": setsketch.query,
     "op4_warc": warc.query,
     "op5_bpe": bpe.query,
+    "op8_substring_dedup": seeds.query,
     "op10_language_id": ppm.query,
 }
 
-ORACLE: dict[str, str] = {"op4_warc": warc.ORACLE}
+ORACLE: dict[str, str] = {"op4_warc": warc.ORACLE, "op8_substring_dedup": seeds.ORACLE}
