@@ -1,8 +1,9 @@
 """The registered queries of this subpackage and their SQL."""
 
-from tidemark.llm import bpe, ppm, seeds, setsketch, suffix, warc
+from tidemark.llm import bpe, lm, ppm, seeds, setsketch, suffix, warc
 
 QUERIES = {
+    "op1_lm_scoring": lm.query,
     "op2_suffix_array": suffix.query,
     "op3_minhash": setsketch.query,
     "op4_warc": warc.query,
