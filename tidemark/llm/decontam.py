@@ -5,7 +5,7 @@ words as the item (a shorter text is one window); it is a hit if at most a fifth
 item's words have to be edited.
 
 A window can only be a hit if enough of its words occur in items of that length, which one
-running sum per length decides. What is left goes through the CGK walk: step ``j`` writes the
+running sum per length decides, and then a count for each item. What is left goes through the CGK walk: step ``j`` writes the
 current word and, by a random bit of (repetition, step, word), stays or moves on. Two
 sequences a few edits apart soon walk in step again, so edit distance becomes Hamming
 distance, and a few sampled positions of the output are a hash that near pairs share.
@@ -46,36 +46,47 @@ def edit_limit(n, share: float = SHARE):
     return np.floor(np.asarray(n) * share + 1e-9).astype(np.int64)
 
 
-class Walk:
-    """One repetition: the random bits of each step and word, and the sampled positions."""
+class Walks:
+    """Repetitions of the walk: a random bit for each (repetition, step, word), and sampled positions."""
 
-    def __init__(self, seed: int, symbols: int):
-        self.seed, self.symbols, self.bits = seed, symbols, {}
+    def __init__(self, symbols: int, seed: int = 0):
+        self.seed, self.symbols = seed, symbols
+        self.bits = np.empty((0, 0, symbols), np.uint64)
 
-    def positions(self, n: int) -> list[int]:
+    def need(self, repeats: int, steps: int) -> None:
+        """Draws the bits of more repetitions or steps; those drawn before stay."""
+        if repeats > self.bits.shape[1] or steps > 64 * self.bits.shape[0]:
+            words = -(-max(steps, 64 * self.bits.shape[0]) // 64)
+            rows = max(repeats, self.bits.shape[1])
+            draw = lambda w, r: np.random.default_rng((self.seed, w, r)).integers(0, 2**64, self.symbols, dtype=np.uint64)
+            self.bits = np.stack([np.stack([draw(w, r) for r in range(rows)]) for w in range(words)])
+
+    def positions(self, n: int, repeats: int) -> np.ndarray:
         length = max(SAMPLES, math.ceil(1.5 * n))
-        return sorted(np.random.default_rng((self.seed, n)).choice(length, SAMPLES, replace=False).tolist())
-
-    def step(self, j: int) -> np.ndarray:
-        if j not in self.bits:
-            self.bits[j] = np.random.default_rng((self.seed, 1 << 20, j)).integers(0, 2, self.symbols, dtype=np.int64)
-        return self.bits[j]
-
-    def keys(self, symbols: np.ndarray, start: np.ndarray, size: np.ndarray, n: int) -> np.ndarray:
-        """A hash of the sampled outputs for windows of ``symbols``; after its end a window gives 0."""
-        at, key = np.zeros(len(start), np.int64), np.zeros(len(start), np.uint64)
-        positions = self.positions(n)
-        for j in range(positions[-1] + 1):
+        return np.sort(np.stack([np.random.default_rng((self.seed, n, r)).choice(length, SAMPLES, replace=False) for r in range(repeats)]), axis=1)
+
+    def keys(self, symbols: np.ndarray, start: np.ndarray, size: np.ndarray, n: int, positions: np.ndarray) -> np.ndarray:
+        """By repetition and window, a hash of the sampled outputs; after its end a window gives 0."""
+        repeats = len(positions)
+        at, key = np.zeros((repeats, len(start)), np.int64), np.zeros((repeats, len(start)), np.uint64)
+        rows = np.arange(repeats)[:, None]
+        for j in range(int(positions.max()) + 1):
             inside = at < size
             now = np.where(inside, symbols[np.minimum(start + at, len(symbols) - 1)], 0)
-            if j in positions:
-                key = shards.mix(key * np.uint64(31) ^ now.astype(np.uint64))
-            at += np.where(inside, self.step(j)[now], 0)
+            seen = np.flatnonzero((positions == j).any(1))
+            if len(seen):
+                key[seen] = shards.mix(key[seen] * np.uint64(31) ^ now[seen].astype(np.uint64))
+            bit = (self.bits[j // 64][rows, now] >> np.uint64(j % 64)) & np.uint64(1)
+            at += inside & bit.astype(bool)
         return key
 
 
-def hit_rate(n: int, edits: int, trials: int = 500) -> float:
-    """How often one repetition gives equal hashes for a sequence and its copy with random edits."""
+def repetitions(n: int, edits: int, recall: float, trials: int = 400, tries: int = 96) -> int:
+    """How many repetitions reach this recall for sequences of ``n`` words after random edits.
+
+    Some edits throw the walk further off than others, so the chance to miss is averaged
+    over pairs, each with its own rate, and not taken from the average rate.
+    """
     rng = np.random.default_rng((n, edits))
     rows = np.arange(1, n + 1) + np.zeros((trials, 1), np.int64)
     pairs = []
@@ -92,11 +103,14 @@ def hit_rate(n: int, edits: int, trials: int = 500) -> float:
         pairs.append((other + [n + 1 + edits] * n)[:n])
     flat = np.concatenate([rows.ravel(), np.array(pairs).ravel()])
     start, size = np.arange(2 * trials) * n, np.full(2 * trials, n)
-    hits = 0
-    for seed in range(12):
-        keys = Walk(seed + 10_000, n + edits + 2).keys(flat, start, size, n)
-        hits += int((keys[:trials] == keys[trials:]).sum())
-    return max(hits, 1) / (12 * trials)
+    walks = Walks(n + edits + 2, seed=1)
+    walks.need(tries, 2 * n + 8)
+    keys = walks.keys(flat, start, size, n, walks.positions(n, tries))
+    miss = 1 - ((keys[:, :trials] == keys[:, trials:]).sum(0) + 0.5) / (tries + 0.5)
+    repeats = 1
+    while (miss**repeats).mean() > 1 - recall:
+        repeats = math.ceil(repeats * 1.1 + 0.1)
+    return repeats
 
 
 def edit_distances(left, left_size, right, right_size) -> np.ndarray:
@@ -124,20 +138,20 @@ class Items:
         split = sorted((len(w), i, w) for i, w in ((i, words(t)) for i, t in rows if i is not None) if w)
         self.symbol = {w: k for k, w in enumerate(sorted({w for _, _, ws in split for w in ws}), 1)}
         symbols = len(self.symbol) + 1
-        self.walks: dict[int, Walk] = {}
+        self.walks = Walks(symbols)
         self.groups = []
         for n in sorted({n for n, _, _ in split}):
             ids = [i for m, i, _ in split if m == n]
             matrix = np.array([[self.symbol[w] for w in ws] for m, _, ws in split if m == n])
             member = np.zeros(symbols, np.int32)
             member[np.unique(matrix)] = 1
-            rate = hit_rate(n, int(edit_limit(n, share)))
-            repeats = 1 if rate >= 1 else math.ceil(math.log(1 - recall) / math.log(1 - rate))
-            keys = []
-            for r in range(repeats):
-                walk = self.walks.setdefault(r, Walk(r, symbols))
-                keys.append(walk.keys(matrix.ravel(), np.arange(len(ids)) * n, np.full(len(ids), n), n))
-            self.groups.append((n, np.array(ids), matrix, member, keys))
+            owns = np.zeros((len(ids), symbols), np.int32)  # how often an item has a word
+            np.add.at(owns, (np.arange(len(ids))[:, None], matrix), 1)
+            repeats = repetitions(n, int(edit_limit(n, share)), recall)
+            self.walks.need(repeats, 2 * n + 8)
+            positions = self.walks.positions(n, repeats)
+            keys = self.walks.keys(matrix.ravel(), np.arange(len(ids)) * n, np.full(len(ids), n), n, positions)
+            self.groups.append((n, np.array(ids), matrix, member, owns, positions, keys))
 
     def hits(self, texts: list[str | None]) -> list[list[tuple[int, int, int, int]]]:
         """For each text its hits: item, first word, words of the window, edits; the best window of each item."""
@@ -147,7 +161,7 @@ class Items:
         get = self.symbol.get
         symbols = np.fromiter((get(w, 0) for p in parts for w in p), np.int64, int(sizes.sum()))
         ends = np.cumsum(sizes)
-        for n, ids, matrix, member, keys in self.groups:
+        for n, ids, matrix, member, owns, positions, keys in self.groups:
             limit = int(edit_limit(n, self.share))
             known = np.r_[0, np.cumsum(member[symbols])]
             if known[-1] < n - limit:
@@ -161,16 +175,26 @@ class Items:
             size = np.r_[np.full(len(start) - len(short), n), sizes[short]].astype(np.int64)
             if not len(start):
                 continue
-            pairs = []
-            for r, items in enumerate(keys):
-                order = np.argsort(items)
-                own = self.walks[r].keys(symbols, start, size, n)
-                low, high = (np.searchsorted(items[order], own, side=s) for s in ("left", "right"))
-                count = high - low
-                window = np.repeat(np.arange(len(start)), count)
-                item = order[np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())]
-                pairs.append(np.unique(window * len(ids) + item))
-            pairs = np.unique(np.concatenate(pairs))
+            # The same bound for each item: enough of the window's words must be its own.
+            window, item = [], []
+            for i in range(0, len(start), 8192):
+                inside = np.arange(n) < size[i : i + 8192, None]
+                cells = np.sort(np.where(inside, symbols[np.minimum(start[i : i + 8192, None] + np.arange(n), len(symbols) - 1)], 0), axis=1)
+                new = np.ones(cells.shape, bool)
+                new[:, 1:] = cells[:, 1:] != cells[:, :-1]
+                again = np.arange(n) - np.maximum.accumulate(np.where(new, np.arange(n), 0), axis=1)
+                for k, own in enumerate(owns):
+                    near = np.flatnonzero((again < own[cells]).sum(1) >= n - limit)
+                    window.append(near + i)
+                    item.append(np.full(len(near), k))
+            window, item = np.concatenate(window), np.concatenate(item)
+            use, place = np.unique(window, return_inverse=True)
+            hit = np.zeros(len(window), bool)
+            for i in range(0, len(use), 2048):
+                here = (place >= i) & (place < i + 2048)
+                own = self.walks.keys(symbols, start[use[i : i + 2048]], size[use[i : i + 2048]], n, positions)
+                hit[here] = (own[:, place[here] - i] == keys[:, item[here]]).any(0)
+            pairs = np.unique(window[hit] * len(ids) + item[hit])
             for i in range(0, len(pairs), 4096):
                 window, item = np.divmod(pairs[i : i + 4096], len(ids))
                 inside = np.arange(n) < size[window][:, None]
