@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their SQL."""
 
-from tidemark.llm import bpe, decontam, lm, ppm, seeds, setsketch, suffix, warc
+from tidemark.llm import bpe, capfilters, decontam, lm, ppm, seeds, setsketch, suffix, warc
 
 QUERIES = {
     "op1_lm_scoring": lm.query,
@@ -10,7 +10,12 @@ QUERIES = {
     "op5_bpe": bpe.query,
     "op7_decontamination": decontam.query,
     "op8_substring_dedup": seeds.query,
+    "op9_cap_filters": capfilters.query,
     "op10_language_id": ppm.query,
 }
 
-ORACLE: dict[str, str] = {"op4_warc": warc.ORACLE, "op8_substring_dedup": seeds.ORACLE}
+ORACLE: dict[str, str] = {
+    "op4_warc": warc.ORACLE,
+    "op8_substring_dedup": seeds.ORACLE,
+    "op9_cap_filters": capfilters.ORACLE,
+}
