@@ -1,10 +1,17 @@
-"""The corpus pipeline: each stage is one operator of ``tidemark.llm`` applied to what is left."""
+"""The corpus pipeline: each stage is one operator of ``tidemark.llm`` applied to what is left.
+
+Every stage works on all rows that its predecessor kept, and all but the last return the
+columns of documents. NULL and empty texts leave with the first stage, which finds no
+language in them; a row without an id stays unless its text is rejected. Each stage handles
+empty input.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from tidemark.llm import ppm
+from tidemark.llm import bpe, decontam, ppm, secrets, setsketch
 
 
 def language(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,8 +20,45 @@ def language(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     return ppm.identify(docs, model).where("lang_pred <> 'und'").select(docs.columns)
 
 
-STAGES = [("language", language)]
-#: The trained language model has no SQL form.
+def near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the smallest id of each class of near-duplicates (five words, similarity 0.8).
+
+    A doc_id goes when none of its rows is the one to keep.
+    """
+    found = setsketch.classes(docs, 5, 80)
+    gone = found.where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept")).where("not kept").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def decontamination(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents with a window within a fifth of its words of a benchmark item."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontam.contamination(docs, items).where(F.size("hits") == 0).select(docs.columns)
+
+
+def secret_scan(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace secrets in the texts; ``n_chars`` follows."""
+    clean = secrets.redact(secrets.scan(docs))
+    if "n_chars" in docs.columns:
+        clean = clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return clean.select(docs.columns)
+
+
+def tokens(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document (little-endian unsigned 32-bit) and the text they decode to."""
+    tokenizer = bpe.read_tokenizer(bpe.public_path())
+    both = bpe.decode(bpe.encode(docs, tokenizer).drop("text"), tokenizer)
+    return both.withColumn("n_tokens", (F.octet_length("ids") / 4).cast("long"))
+
+
+STAGES = [
+    ("language", language),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("secrets", secret_scan),
+    ("tokens", tokens),
+]
+#: The trained language model and the tokenizer have no SQL form.
 ORACLE_SQL = None
 
 

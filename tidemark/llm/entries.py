@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their SQL."""
 
-from tidemark.llm import bpe, capfilters, decontam, lm, ppm, seeds, setsketch, suffix, warc
+from tidemark.llm import bpe, capfilters, decontam, lm, ppm, secrets, seeds, setsketch, suffix, warc
 
 QUERIES = {
     "op1_lm_scoring": lm.query,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_minhash": setsketch.query,
     "op4_warc": warc.query,
     "op5_bpe": bpe.query,
+    "op6_secret_scan": secrets.query,
     "op7_decontamination": decontam.query,
     "op8_substring_dedup": seeds.query,
     "op9_cap_filters": capfilters.query,
