@@ -16,6 +16,7 @@ import os
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,7 +26,7 @@ from tokenizers import Tokenizer
 from tidemark.llm import shards
 
 #: Words that a task holds before it sends them on.
-WORDS = 1 << 19
+WORDS = 1 << 18
 _SENT = pa.schema([("shard", pa.int32()), ("data", pa.binary())])
 
 
@@ -155,11 +156,11 @@ def encode(docs: DataFrame, tokenizer: str, text_col="text") -> DataFrame:
             return known[0]
 
         for batch in batches:
-            texts, out = shards.texts_of(batch.column(at)), []
-            for i, j in shards.chunks([len(x) for x in texts]):
+            column = batch.column(at).cast(pa.binary())
+            for i, j in shards.chunks(pc.fill_null(pc.binary_length(column), 0).to_pylist()):
                 index: dict[bytes, int] = {}
                 place, counts = [], []
-                for text in texts[i:j]:
+                for text in shards.texts_of(column[i:j]):
                     words = text.split()
                     counts.append(len(words))
                     place += [index.setdefault(w, len(index)) for w in words]
@@ -168,8 +169,8 @@ def encode(docs: DataFrame, tokenizer: str, text_col="text") -> DataFrame:
                 n = sizes[use]
                 ids = ids[np.repeat(starts[use] - np.cumsum(n) + n, n) + np.arange(n.sum())].astype("<u4")
                 ends = np.r_[0, np.cumsum(n)][np.cumsum(counts)]
-                out += [ids[a:b].tobytes() for a, b in zip([0, *ends[:-1]], ends, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, "ids"])
+                out = [ids[a:b].tobytes() for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+                yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, pa.array(out, pa.binary())], names=[*batch.schema.names, "ids"])
 
     return kept.mapInArrow(fill, T.StructType([*kept.schema.fields, T.StructField("ids", T.BinaryType())]))
 
@@ -187,9 +188,10 @@ def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
     def join(batches):
         pieces = shared.value
         for batch in batches:
-            rows = [np.frombuffer(x or b"", "<u4").tolist() for x in batch.column(at).to_pylist()]
-            texts = [" ".join(pieces[i] for i in row if i in pieces) for row in rows]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
+            column = batch.column(at)
+            for i, j in shards.chunks(pc.fill_null(pc.binary_length(column), 0).to_pylist()):
+                texts = [" ".join(pieces[k] for k in np.frombuffer(x or b"", "<u4").tolist() if k in pieces) for x in column[i:j].to_pylist()]
+                yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
 
     return kept.mapInArrow(join, T.StructType([*kept.schema.fields, T.StructField("decoded", T.StringType())]))
 
