@@ -101,19 +101,17 @@ def test_empty_table(spark):
     assert suffix.remove_repeats(none).count() == 0 and seeds.remove_repeats(none).count() == 0
 
 
-def test_intervals_equal_sorted_prefixes():
+def test_intervals_equal_prefixes():
     rng = np.random.default_rng(5)
-    sizes = rng.integers(1, 60, 40)
-    content = rng.integers(0, 2, sizes.sum()).astype(np.uint8)
+    cells = rng.integers(0, 3, (60, 25)).astype(np.uint16)
+    group = np.sort(rng.integers(0, 4, 60))
     for length in (1, 2, 7, 20):
-        order, bounds = suffix.prefix_classes(content, sizes, length)
-        starts = np.cumsum(sizes + 1) - sizes - 1
-        seen = {}
-        for place, cls in zip(order.tolist(), np.cumsum(bounds).tolist(), strict=True):
-            i = int(np.searchsorted(starts, place, side="right") - 1)
-            at = place - starts[i]
-            if sizes[i] - at >= length:
-                begin = int((np.cumsum(sizes) - sizes)[i] + at)
-                seen.setdefault(content[begin : begin + length].tobytes(), set()).add(cls)
-        assert all(len(x) == 1 for x in seen.values())
-        assert len({next(iter(x)) for x in seen.values()}) == len(seen)
+        order, bounds = suffix.prefix_classes(cells, group, length)
+        classes = {}
+        for at, (row, cls) in enumerate(zip(order.tolist(), np.cumsum(bounds).tolist(), strict=True)):
+            column = at // 60
+            part = cells[row, column : column + length].tolist()
+            if len(part) == length and 0 not in part:
+                classes.setdefault((column, int(group[row]), *part), set()).add(cls)
+        assert all(len(x) == 1 for x in classes.values())
+        assert len({next(iter(x)) for x in classes.values()}) == len(classes)

@@ -25,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,9 +34,11 @@ from tidemark.llm import shards
 #: Distinct segments of a seed from which its groups are spread over shards.
 HOT = 4096
 #: Symbols of segments whose classes are found at once.
-PIECE = 1 << 21
+PIECE = 1 << 20
+#: Seeds that a task gathers before it sends them on.
+SEEDS = 1 << 17
 #: Bytes of text that are winnowed at once; one less than a power of two, as powers are tabled.
-CHUNK = (1 << 20) - 1
+CHUNK = (1 << 18) - 1
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 _TABLES = np.random.default_rng(7).integers(0, 2**64, (2, 256), dtype=np.uint64)
 _POWERS: dict = {}
@@ -142,7 +145,8 @@ def winnow(symbols: np.ndarray, sizes: np.ndarray, method: Method) -> Seeds:
     low = np.maximum(starts[text], chosen - reach)
     high = np.minimum(ends[text], chosen + w)
     segment = shards.mix(second.run(low, high) ^ ((chosen - low).astype(np.uint64) << np.uint64(32)) ^ (high - low).astype(np.uint64))
-    return Seeds(chosen, hashes[chosen], segment, low, high, text, starts, second)
+    # Smallest hashes crowd at the low end; mixed again they spread over all shards.
+    return Seeds(chosen, shards.mix(hashes[chosen] ^ _BASES[0]), segment, low, high, text, starts, second)
 
 
 def _route(seed, segment, kind):
@@ -228,14 +232,19 @@ class Repeats:
         return np.cumsum(change)[:-1] > 0
 
 
-def readable(batch: pa.RecordBatch):
-    """Texts with an id, chunk by chunk: (rows, ids, texts)."""
-    ids = batch.column(0)
-    texts = shards.texts_of(batch.column(1))
-    rows = [i for i, x in enumerate(ids.is_valid().to_pylist()) if x]
-    numbers = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-    for i, j in shards.chunks([len(texts[r]) for r in rows], CHUNK):
-        yield rows[i:j], numbers[rows[i:j]], [texts[r] for r in rows[i:j]]
+def pieces(batch: pa.RecordBatch):
+    """Slices of a batch (id, text): its rows, all texts, and which have an id, with those ids."""
+    column = batch.column(1).cast(pa.binary())
+    for i, j in shards.chunks(pc.fill_null(pc.binary_length(column), 0).to_pylist(), CHUNK):
+        ids = batch.column(0)[i:j]
+        numbers = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        which = np.flatnonzero(ids.is_valid().to_numpy(zero_copy_only=False))
+        yield batch.slice(i, j - i), shards.texts_of(column[i:j]), which, numbers[which]
+
+
+def _with_ids(batch: pa.RecordBatch):
+    for _, texts, which, ids in pieces(batch):
+        yield ids, [texts[i] for i in which]
 
 
 def find_repeats(docs: DataFrame, method: Method) -> Repeats:
@@ -254,10 +263,14 @@ def find_repeats(docs: DataFrame, method: Method) -> Repeats:
         several = np.logical_or.reduceat(many, new) | (np.diff(np.r_[new, len(seed)]) > 1)
         return seed[new], least, least ^ most, doc[new], place[new], np.add.reduceat(parts, new, dtype=np.uint32), several
 
+    def gathered(parts):
+        found = merge(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+        return shards.cut(bits, found[0], *found)
+
     def send_seeds(batches):
         for batch in batches:
-            parts = []
-            for _, ids, texts in readable(batch):
+            parts, held = [], 0
+            for ids, texts in _with_ids(batch):
                 symbols, sizes = method.symbols(texts)
                 s = winnow(symbols, sizes, method)
                 order, new = _firsts(s.seed, s.segment, ids[s.text], s.place())
@@ -265,9 +278,12 @@ def find_repeats(docs: DataFrame, method: Method) -> Repeats:
                 order = order[new]
                 n = len(order)
                 parts.append(merge(s.seed[order], s.segment[order], np.zeros(n, np.uint64), ids[s.text[order]], s.place()[order], np.ones(n, np.uint32), many))
+                held += n
+                if held >= SEEDS:
+                    yield gathered(parts)
+                    parts, held = [], 0
             if parts:
-                found = merge(*(np.concatenate(x) for x in zip(*parts, strict=True)))
-                yield shards.cut(bits, found[0], *found)
+                yield gathered(parts)
 
     def keep_seeds(shard, rows):
         seed, _, span, doc, place, parts, many = merge(*shards.unpack(rows, *kinds))
@@ -284,7 +300,7 @@ def find_repeats(docs: DataFrame, method: Method) -> Repeats:
 
     def send_segments(batches):
         for batch in batches:
-            for _, ids, texts in readable(batch):
+            for ids, texts in _with_ids(batch):
                 symbols, sizes = method.symbols(texts)
                 s = winnow(symbols, sizes, method)
                 kind = repeats.kinds(s)[0]

@@ -75,10 +75,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> D
 
     def apply(batches):
         for batch in batches:
-            words = [t.split() for t in shards.texts_of(batch.column(1))]
-            removed, kept = np.zeros(len(words), np.int64), [b" ".join(w) for w in words]
-            for which, ids, part in anchors.readable(batch):
-                symbols, sizes = _words(part)
+            for part, texts, which, ids in anchors.pieces(batch):
+                words = [t.split() for t in texts]
+                removed, kept = np.zeros(len(words), np.int64), [b" ".join(w) for w in words]
+                symbols, sizes = _words([texts[i] for i in which])
                 gone = repeats.marks(symbols, sizes, ids)
                 ends = np.cumsum(sizes)
                 sums = np.r_[0, np.cumsum(gone)]
@@ -86,9 +86,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> D
                     if sums[end] > sums[start]:
                         removed[row] = sums[end] - sums[start]
                         kept[row] = b" ".join(w for w, x in zip(words[row], gone[start:end].tolist(), strict=True) if not x)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(w) for w in words], pa.int64()), pa.array(removed), pa.array(kept, pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "n_removed", "kept"]
-            )
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array([len(w) for w in words], pa.int64()), pa.array(removed), pa.array(kept, pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "n_removed", "kept"]
+                )
 
     return rows.mapInArrow(apply, "doc_id long, n_words long, n_removed long, kept string")
 

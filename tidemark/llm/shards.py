@@ -113,7 +113,7 @@ def reduce_shards(blocks: DataFrame, function, schema: str) -> DataFrame:
     return blocks.groupBy("shard").applyInArrow(run, schema)
 
 
-def hash_words(words: list[bytes], known: dict[bytes, int], most: int = 1 << 20) -> np.ndarray:
+def hash_words(words: list[bytes], known: dict[bytes, int], most: int = 1 << 18) -> np.ndarray:
     """A 64-bit hash for each word; ``known`` is the task's cache, emptied when it is full."""
     if len(known) > most:
         known.clear()

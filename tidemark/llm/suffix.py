@@ -1,12 +1,15 @@
 """Exact removal of repeated byte strings, by intervals on a Burrows-Wheeler transform.
 
-The segments that ``anchors`` brings together are concatenated, each with an end mark of its
-own, and their suffixes sorted. Common prefixes are then derived without comparing text, by
-increasing length: the suffixes with a common prefix of ``n`` bytes are an interval; going
-back over the byte before each suffix leads from the bounds of the intervals for ``n`` to
-those for ``n + 1``. Only intervals that were split in the last round are extended, all of
-them at once (breadth first), and the search stops at the minimum length: the intervals left
-are the classes of equal strings of that length.
+The segments that ``anchors`` brings together for a seed are laid under each other, so that
+the seed stands in the same columns; equal strings start in the same column then. For each
+column the suffixes from there on are sorted, from the last column to the first: a stable
+sort by the byte before turns one order into the next (a positional transform). Common
+prefixes are then derived without comparing text, by increasing length: the suffixes of a
+column with a common prefix of ``n`` bytes are an interval, and going back over the byte
+before each leads from the bounds of the intervals for ``n`` to those for ``n + 1``. Only
+intervals that were split in the last round are extended, all of them at once (breadth
+first), and the search stops at the minimum length: the intervals left are the classes of
+equal strings of that length.
 """
 
 from __future__ import annotations
@@ -18,69 +21,41 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import anchors, shards
 
-SEED = 20
+SEED = 40
 
 
-def suffix_order(content: np.ndarray, sizes: np.ndarray):
-    """Suffixes of all segments in order, as (order, rank, end mark positions).
+def prefix_classes(cells: np.ndarray, group: np.ndarray, length: int):
+    """(order, bounds): by column, the rows in suffix order and where an interval of ``length`` begins.
 
-    Positions count an end mark after each segment; marks sort first, in segment order.
+    ``cells`` has a row for each segment and a symbol from 1 on in each column, or 0 where the
+    segment has nothing; rows of a group (numbers up to 65,535, rising) are compared.
     """
-    count, total = len(sizes), int(sizes.sum()) + len(sizes)
-    ends = np.cumsum(sizes + 1) - 1
-    symbol = np.zeros(total, np.uint64)
-    text = np.ones(total, bool)
-    text[ends] = False
-    symbol[text] = content
-    left = np.repeat(ends, sizes + 1) - np.arange(total)  # symbols before the mark
-    key = np.zeros(total, np.uint64)
-    for i in range(7):
-        shifted = np.zeros(total, np.uint64)
-        shifted[: total - i] = symbol[i:]
-        key = (key << np.uint64(8)) | np.where(left > i, shifted, np.uint64(0))
-    key = (key << np.uint64(8)) | np.minimum(left, 7).astype(np.uint64)
-    mark = np.repeat(np.arange(count), sizes + 1)
-    reach = 7
-    while True:
-        order = np.argsort(key, kind="stable")
-        new = np.r_[True, key[order][1:] != key[order][:-1]]
-        rank = np.empty(total, np.int64)
-        rank[order] = np.cumsum(new) - 1
-        if new.all():
-            return order, rank, ends
-        # A suffix that ends within reach is told apart by its mark, others by what follows.
-        following = np.full(total, 0, np.int64)
-        following[: max(0, total - reach)] = rank[reach:] + count
-        following = np.where(left < reach, mark, following)
-        following = np.where(left == reach, mark, following)
-        key = rank.astype(np.uint64) * np.uint64(total + count + 1) + following.astype(np.uint64)
-        reach *= 2
-
-
-def prefix_classes(content: np.ndarray, sizes: np.ndarray, length: int):
-    """(order, bounds): suffixes in order, and whether an interval of ``length`` begins at each."""
-    order, rank, ends = suffix_order(content, sizes)
-    total = len(order)
-    symbol = np.full(total, -1, np.int64)
-    text = np.ones(total, bool)
-    text[ends] = False
-    symbol[text] = content
-    # Back step: the byte before each suffix, and where the longer suffix stands.
-    before = np.where(order > 0, symbol[order - 1], -1)
-    back = np.where(before >= 0, rank[order - 1], -1)
-    by_byte = np.argsort(before, kind="stable")
-    previous = np.full(total, -1, np.int64)
-    same = before[by_byte][1:] == before[by_byte][:-1]
-    previous[by_byte[1:][same]] = by_byte[:-1][same]
-    bounds = np.zeros(total, bool)
-    bounds[: len(ends)] = True  # end marks differ from everything
-    lead = symbol[order]
-    bounds[np.flatnonzero(np.r_[True, lead[1:] != lead[:-1]])] = True
+    rows, columns = cells.shape
+    group = group.astype(np.uint16)
+    order = np.empty((columns, rows), np.int64)
+    back, previous = np.full((columns, rows), -1, np.int64), np.full((columns, rows), -1, np.int64)
+    bounds = np.zeros((columns, rows), bool)
+    now = np.arange(rows)
+    for c in range(columns - 1, -1, -1):
+        by = np.argsort(cells[now, c], kind="stable")
+        by = by[np.argsort(group[now[by]], kind="stable")]
+        now = now[by]
+        symbol, of = cells[now, c], group[now]
+        new = np.ones(rows, bool)
+        # Where a segment has nothing it differs from everything.
+        new[1:] = (symbol[1:] != symbol[:-1]) | (of[1:] != of[:-1]) | (symbol[1:] == 0)
+        order[c], bounds[c] = now, new
+        if c + 1 < columns:
+            # Back step from the next column: where each row went, and who of the same symbol is before it.
+            at = (c + 1) * rows
+            back[c + 1, by] = np.where(symbol > 0, c * rows + np.arange(rows), -1)
+            previous[c + 1, by[1:]] = np.where(new[1:], -1, at + by[:-1])
+    order, back, previous, bounds = (x.ravel() for x in (order, back, previous, bounds))
     fresh = np.flatnonzero(bounds)
     for _ in range(length - 1):
         starts = np.flatnonzero(bounds)
         at = np.searchsorted(starts, fresh)
-        n = np.r_[starts[1:], total][at] - fresh
+        n = np.r_[starts[1:], len(bounds)][at] - fresh
         first = np.repeat(fresh, n)
         inside = first + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         to = back[inside[previous[inside] < first]]
@@ -92,14 +67,25 @@ def prefix_classes(content: np.ndarray, sizes: np.ndarray, length: int):
     return order, bounds
 
 
-def _classes(length: int):
+def _classes(length: int, seed: int):
+    reach = length - seed
+
     def find(content, sizes, before, group):
-        order, bounds = prefix_classes(content, sizes, length)
-        starts = np.cumsum(sizes + 1) - sizes - 1
-        segment = np.repeat(np.arange(len(sizes)), sizes + 1)[order]
-        offset = order - starts[segment]
-        full = sizes[segment] - offset >= length
-        return segment[full], offset[full], np.cumsum(bounds)[full]
+        # The seed starts in column ``reach``.
+        cells = np.zeros((len(sizes), reach + length), np.uint16)
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        column = np.arange(len(content)) + np.repeat(reach - before - np.cumsum(sizes) + sizes, sizes)
+        cells[row, column] = content.astype(np.uint16) + 1
+        out, last = [], 0
+        group = group - (group[0] if len(group) else 0)
+        for i, j in shards.runs(group // 65_536):
+            order, bounds = prefix_classes(cells[i:j], group[i:j] % 65_536, length)
+            segment = order + i
+            offset = np.repeat(np.arange(reach + length), j - i) - reach + before[segment]
+            full = (offset >= 0) & (sizes[segment] - offset >= length)
+            out.append((segment[full], offset[full], last + np.cumsum(bounds)[full]))
+            last += len(order)
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
     return find
 
@@ -109,7 +95,7 @@ def _bytes(texts):
 
 
 def method(length: int, seed: int = SEED) -> anchors.Method:
-    return anchors.Method(length, seed, _bytes, _classes(length), True)
+    return anchors.Method(length, seed, _bytes, _classes(length, seed), True)
 
 
 def remove_repeats(docs: DataFrame, length: int = 100, seed: int = SEED) -> DataFrame:
@@ -127,10 +113,9 @@ def remove_repeats(docs: DataFrame, length: int = 100, seed: int = SEED) -> Data
 
     def apply(batches):
         for batch in batches:
-            texts = shards.texts_of(batch.column(1))
-            made = [[len(t), 0, 0, t] for t in texts]
-            for which, ids, part in anchors.readable(batch):
-                symbols, sizes = _bytes(part)
+            for part, texts, which, ids in anchors.pieces(batch):
+                made = [[len(t), 0, 0, t] for t in texts]
+                symbols, sizes = _bytes([texts[i] for i in which])
                 gone = repeats.marks(symbols, sizes, ids)
                 ends = np.cumsum(sizes)
                 sums = np.r_[0, np.cumsum(gone)]
@@ -138,10 +123,10 @@ def remove_repeats(docs: DataFrame, length: int = 100, seed: int = SEED) -> Data
                     if sums[end] > sums[start]:
                         mine = gone[start:end]
                         made[row][1:] = int(sums[end] - sums[start]), int(mine[0]) + int((mine[1:] & ~mine[:-1]).sum()), symbols[start:end][~mine].tobytes()
-            columns = list(zip(*made, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"]
-            )
+                columns = list(zip(*made, strict=True))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"]
+                )
 
     return rows.mapInArrow(apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
