@@ -16,6 +16,7 @@ The order of the model is two: contexts are one word, or the start of the text.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -56,10 +57,14 @@ def _pair(before, token):
     return shards.mix(before * np.uint64(0x9E3779B97F4A7C15) ^ shards.mix(token))
 
 
+def _in(values: np.ndarray, few: np.ndarray) -> np.ndarray:
+    return few[np.minimum(np.searchsorted(few, values), len(few) - 1)] == values
+
+
 def _keys(before, token, hot: np.ndarray, bits: int):
     """Key of a pair: the shard's bits, from its context or itself, then those of its hash."""
     pair = _pair(before, token)
-    spread = np.isin(before, hot)
+    spread = _in(before, hot)
     top = np.uint64((1 << bits) - 1) << np.uint64(64 - bits)
     return (np.where(spread, pair, before) & top) | (pair >> np.uint64(bits))
 
@@ -147,9 +152,10 @@ class PairModel:
 
 
 def hot_contexts(texts: DataFrame, share: float = HOT_SHARE) -> np.ndarray:
-    """Hashes of words that make up ``share`` of all tokens, and the start of a text.
+    """Hashes of words that make up ``share`` of the tokens somewhere, and the start of a text.
 
-    At most 1 / share words. Any set gives the same model; this one keeps shards even.
+    At most 1 / share words, the most frequent. Any set gives the same model; this one keeps
+    shards even.
     """
 
     def frequent(batches):
@@ -159,13 +165,11 @@ def hot_contexts(texts: DataFrame, share: float = HOT_SHARE) -> np.ndarray:
             parts = [tokens(shards.texts_of(column[i:j]), known)[1] for i, j in shards.chunks(pc.fill_null(pc.binary_length(column), 0).to_pylist())]
             if parts:
                 word, n = np.unique(np.concatenate(parts), return_counts=True)
-                # What is rarer here can't lift a word over the share everywhere by much.
-                most = n >= share / 2 * n.sum()
-                yield pa.RecordBatch.from_arrays([pa.array(np.r_[word[most].view(np.int64), 0]), pa.array(np.r_[n[most], 0]), pa.array(np.r_[0 * n[most], n.sum()])], names=["word", "n", "of"])
+                most = n >= share * n.sum()
+                yield pa.RecordBatch.from_arrays([pa.array(word[most].view(np.int64)), pa.array(n[most])], names=["word", "n"])
 
-    found = texts.mapInArrow(frequent, "word long, n long, of long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("of").alias("of"))
-    total = found.agg(F.sum("of")).first()[0] or 0
-    words = [r["word"] for r in found.where(F.col("n") >= max(1.0, share * total)).select("word").collect()]
+    found = texts.mapInArrow(frequent, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    words = [r["word"] for r in found.orderBy(F.desc("n"), "word").limit(math.ceil(1 / share)).collect()]
     return np.unique(np.r_[np.array(words, np.int64).view(np.uint64), START])
 
 
@@ -182,7 +186,7 @@ def train(docs: DataFrame, text_col="text", share: float = HOT_SHARE) -> PairMod
 
         def counted():
             before, token = (np.concatenate(x) for x in zip(*held, strict=True))
-            spread = np.isin(before, hot)
+            spread = _in(before, hot)
             route = np.where(spread, _pair(before, token), before) >> np.uint64(64 - bits)
             (route, before, token), (count,) = _summed((route, before, token), np.ones(len(token), np.uint32))
             return shards.cut(bits, route << np.uint64(64 - bits), before, token, count)
@@ -210,7 +214,7 @@ def train(docs: DataFrame, text_col="text", share: float = HOT_SHARE) -> PairMod
         for name, array in (("pair_n", np.minimum(n, 255).astype(np.uint8)[order]), ("pair", keys[order]), ("large_n", n[large]), ("large", keys[large])):
             shards.save(f"{folder}/{name}-{shard}.npy", array)
         (context,), stats = _summed((before,), n, *(np.asarray(x, np.int64) for x in (n == 1, n == 2, n >= 3)))
-        spread = np.isin(context, hot)
+        spread = _in(context, hot)
         for name, array in zip(("context_n", "context_n1", "context_n2", "context_n3", "context"), (*stats, context), strict=True):
             shards.save(f"{folder}/{name}-{shard}.npy", array[~spread])
         (word,), (contexts,) = _summed((token,), np.ones(len(token), np.uint32))
