@@ -487,14 +487,12 @@ def fit_predict_boosted(spark, sf_dir):
 
 @query
 def walk_forward_boosted(spark, sf_dir):
-    return comparison.walk_forward(dataset(spark, sf_dir), "boosted_trees", MIN_TRAIN, refit_every=30)
+    return comparison.walk_forward(dataset(spark, sf_dir), "boosted_trees", MIN_TRAIN)
 
 
 @query
 def compare_models(spark, sf_dir):
-    _, table = comparison.compare_models(
-        dataset(spark, sf_dir), ["ridge", "boosted_trees"], MIN_TRAIN, options={"boosted_trees": {"refit_every": 30}}
-    )
+    _, table = comparison.compare_models(dataset(spark, sf_dir), ["ridge", "boosted_trees"], MIN_TRAIN)
     return table
 
 

@@ -43,7 +43,7 @@ def test_fred_release_dates_by_mode(spark):
     breaks(lambda: P.normalize_fred(landed(spark, fred(ONE, bare), "initial_release")), "own realtime_start")
     assert release(landed(spark, fred(bare), "realtime_period", "2019-01-01")) == [d("2019-01-01")]
     assert release(landed(spark, fred(bare))) == [d("2026-05-01")]
-    breaks(lambda: P.normalize_fred(landed(spark, fred(bare, realtime_start=None))), "realtime_start metadata")
+    breaks(lambda: P.normalize_fred(landed(spark, fred(bare, realtime_start=None))), "have no realtime_start")
     # Once one observation is dated, an undated one stays undated.
     later = {**bare, "date": "2020-02-01"}
     assert release(landed(spark, fred(ONE, later))) == [d("2020-02-13"), None]
@@ -94,14 +94,14 @@ def test_observation_contracts(spark):
     assert P.validate_fred(observations(spark).limit(0)).count() == 0
     breaks(lambda: P.validate_fred(observations(spark, source="bls")), "source='fred'")
     breaks(lambda: P.validate_fred(observations(spark, source=None)), "source='fred'")
-    breaks(lambda: P.validate_fred(observations(spark, series_id=None)), "series_id cannot")
-    breaks(lambda: P.validate_fred(observations(spark, release_date=None)), "release_date cannot")
+    breaks(lambda: P.validate_fred(observations(spark, series_id=None)), "series_id is missing")
+    breaks(lambda: P.validate_fred(observations(spark, release_date=None)), "release_date is missing")
     breaks(lambda: P.validate_fred(observations(spark, value="abc")), "value is not a number")
     breaks(lambda: P.validate_fred(observations(spark).drop("value")), "Missing required")
     own = observations(spark, source="bls", release_date=None, value="abc")
     assert P.validate_bls(own).first().value is None
     breaks(lambda: P.validate_bls(observations(spark, source="bls", release_date="soon")), "not a plain date")
-    breaks(lambda: P.validate_bls(observations(spark, source="bls", date=None)), "date cannot")
+    breaks(lambda: P.validate_bls(observations(spark, source="bls", date=None)), "date is missing")
 
 
 CSV = "release_name,reference_period,release_date,release_time\nCPI,2026-03,2026-04-10,08:30\nCPI,2026-01,2026-02-12,08:30\n"

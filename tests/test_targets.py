@@ -75,7 +75,7 @@ def valid(spark, **changes):
 
 def test_target_contract(spark):
     assert validate_targets(valid(spark)).count() == 2
-    breaks(lambda: validate_targets(valid(spark, release_date=None)), "release_date cannot be missing")
+    breaks(lambda: validate_targets(valid(spark, release_date=None)), "has no release_date")
     breaks(lambda: validate_targets(valid(spark, reference_date="2026-02-01")), "Duplicate target")
     breaks(lambda: validate_targets(valid(spark, release_date="2026-02-28")), "before its month ended")
     other = valid(spark, target_id="other", release_date="2026-02-28")

@@ -85,8 +85,8 @@ def test_fold_counts_and_naive(spark):
 def test_errors(spark):
     frame = to_spark(spark, monthly(4, feature_x=np.arange(4.0)))
     breaks(lambda: W.walk_forward_naive(frame, 0), "at least 1")
-    breaks(lambda: W.walk_forward_naive(frame, 4), "Insufficient rows")
-    breaks(lambda: walk_forward(frame, "oracle"), "Unsupported model_name")
+    breaks(lambda: W.walk_forward_naive(frame, 4), "nothing to forecast")
+    breaks(lambda: walk_forward(frame, "oracle"), "No model is called")
     breaks(lambda: W.walk_forward_ridge(frame.drop("feature_x"), 2), "No feature columns")
     breaks(lambda: W.walk_forward_ridge(frame, 2, ["feature_none"]), "Unknown feature columns")
     breaks(lambda: W.walk_forward_ridge(frame, 1), "two training rows")
@@ -168,12 +168,12 @@ def test_single_split_ridge_equals_walk_forward(noisy):
 def test_supervised_guard(spark):
     frame = to_spark(spark, monthly(4, feature_x=np.arange(4.0)))
     assert supervised_guard(frame, frame, ["feature_x"]).count() == 4
-    breaks(lambda: supervised_guard(frame, frame, []), "at least one feature")
-    breaks(lambda: supervised_guard(frame, frame.drop("feature_x"), ["feature_x"]), "missing from train/test")
-    breaks(lambda: supervised_guard(frame.drop("target_value"), frame, ["feature_x"]), "missing target column")
-    breaks(lambda: supervised_guard(frame.limit(1), frame, ["feature_x"]), "two training rows")
+    breaks(lambda: supervised_guard(frame, frame, []), "nothing to learn")
+    breaks(lambda: supervised_guard(frame, frame.drop("feature_x"), ["feature_x"]), "test data lacks")
+    breaks(lambda: supervised_guard(frame.drop("target_value"), frame, ["feature_x"]), "training data lacks")
+    breaks(lambda: supervised_guard(frame.limit(1), frame, ["feature_x"]), "nothing to learn from 1 rows")
     gone = frame.withColumn("feature_x", F.lit(None).cast("double"))
-    breaks(lambda: supervised_guard(gone, frame, ["feature_x"]), "no usable feature")
+    breaks(lambda: supervised_guard(gone, frame, ["feature_x"]), "nothing to learn")
 
 
 def test_boosted_trees(noisy):
@@ -185,7 +185,7 @@ def test_boosted_trees(noisy):
     assert rows(made.select(*keys), *keys) == rows(naive.select(*keys), *keys)
     again = walk_forward(frame, "lightgbm", 24, refit_every=100, **fast)
     assert rows(again.select(*keys, "prediction"), *keys) == rows(made.select(*keys, "prediction"), *keys)
-    assert again.first()["model_name"] == "lightgbm"
+    assert again.first()["model_name"] == "boosted_trees"
     # Rows after the first refit block cannot reach back into it.
     edge = made.agg(F.min("forecast_timestamp")).first()[0]
     later = F.col("forecast_timestamp") > F.lit(edge)

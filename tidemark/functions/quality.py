@@ -1,8 +1,7 @@
 """Contracts on DataFrames.
 
 Row rules run inside the plan that uses the data: a broken row stops that job with
-the rule's message, without a pass of its own over the input. ``enforce`` is the
-eager form, which counts every rule in a single job.
+the rule's message, without a pass of its own over the input.
 """
 
 from collections.abc import Sequence
@@ -68,17 +67,3 @@ def rule_counts(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
         F.count(F.lit(1)).alias("row_count"),
         *[F.count_if(F.coalesce(bad, F.lit(False))).alias(name) for name, bad in rules.items()],
     )
-
-
-def enforce(df: DataFrame, rules: dict[str, Column], label: str, sample: Sequence[str] = ()) -> int:
-    """Run all rules in one job; raise with counts and up to five sample rows."""
-    counts = rule_counts(df, rules).first().asDict()
-    total = counts.pop("row_count")
-    broken = {name: n for name, n in counts.items() if n}
-    if broken:
-        any_broken = F.lit(False)
-        for name in broken:
-            any_broken = any_broken | F.coalesce(rules[name], F.lit(False))
-        rows = df.where(any_broken).select(*(sample or df.columns)).limit(5).collect()
-        raise ContractError(f"{label} broke {broken}; for example {[r.asDict() for r in rows]}")
-    return total

@@ -41,7 +41,7 @@ def normalize_feature_obs(
         *[name for name in ties if name not in {"series_id", "source", "date", "value", "release_date"}],
     )
     if strict:
-        return Q.guard(typed, (F.col("release_date").isNull(), "Observation release_date cannot be missing in strict mode."))
+        return Q.guard(typed, (F.col("release_date").isNull(), "An observation has no release_date, which strict mode refuses."))
     return typed.where(F.col("release_date").isNotNull())
 
 
@@ -158,7 +158,7 @@ def lagged_targets(
 ) -> DataFrame:
     """Add ``feature_target_lag_<k>``: the target's value k rows earlier."""
     if any(lag < 1 for lag in lags):
-        raise ValueError("Target lags must be positive integers.")
+        raise ValueError("Lags count rows back, from 1 on.")
     Q.require_columns(dataset, DATASET_COLUMNS, "feature dataset")
     if not lags:
         return dataset

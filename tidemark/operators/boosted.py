@@ -18,16 +18,17 @@ def walk_forward_boosted(
     min_train_size: int = 24,
     features: Sequence[str] | None = None,
     by: Sequence[str] = ("target_id",),
-    refit_every: int = 12,
+    refit_every: int = 1,
     parallelism: int = 4,
     model_name: str = "boosted_trees",
     **params,
 ) -> DataFrame:
-    """Forecast every fold with the latest model trained before it.
+    """Forecast every fold with a model trained before it.
 
-    Folds are grouped by forecast timestamp, ``refit_every`` distinct timestamps at a
-    time. Each group gets one model, trained on all rows, of every target, strictly
-    before the group's first timestamp. ``refit_every=1`` refits at each timestamp.
+    There is one model for each forecast timestamp, trained on the rows of all targets
+    strictly before it; ``refit_every`` keeps a model for that many distinct timestamps.
+    ``by`` says which rows count towards ``min_train_size``. A model that would be trained
+    on fewer rows than that is an error.
     """
     if refit_every < 1:
         raise ValueError("refit_every must be at least 1.")
@@ -49,6 +50,8 @@ def walk_forward_boosted(
     def forecast(i: int) -> str:
         at = F.col("forecast_timestamp")
         train = rows.where(at < F.lit(starts[i]))
+        if (known := train.limit(min_train_size).count()) < min_train_size:
+            raise ValueError(f"Only {known} training rows before {starts[i]}; min_train_size is {min_train_size}.")
         block = folds.where(at >= F.lit(starts[i]))
         if i + 1 < len(starts):
             block = block.where(at < F.lit(starts[i + 1]))

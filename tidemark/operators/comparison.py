@@ -24,13 +24,13 @@ def _boosted(dataset, features, **options):
     return walk_forward_boosted(dataset, features=features, **options)
 
 
-# Boosted trees answer to both names; forecasts carry the name that was asked for.
 MODELS: dict[str, Callable[..., DataFrame]] = {
     NAIVE: _naive,
     "ridge": _ridge,
     "boosted_trees": _boosted,
-    "lightgbm": _boosted,
 }
+# Other names that may be asked for; forecasts carry the name of the model that ran.
+ALIASES = {"lightgbm": "boosted_trees"}
 
 
 def walk_forward(
@@ -41,8 +41,9 @@ def walk_forward(
     **options,
 ) -> DataFrame:
     """Walk-forward forecasts of one model by name."""
+    model_name = ALIASES.get(model_name, model_name)
     if model_name not in MODELS:
-        raise ValueError(f"Unsupported model_name: {model_name}")
+        raise ValueError(f"No model is called {model_name}; there are {sorted(MODELS)}.")
     return MODELS[model_name](dataset, features, min_train_size=min_train_size, model_name=model_name, **options)
 
 
@@ -52,12 +53,10 @@ def union_forecasts(frames: Sequence[DataFrame]) -> DataFrame:
 
 def requested_models(models: Sequence[str]) -> list[str]:
     """The models in order without repeats; none or an unknown one is an error."""
-    if not models:
-        raise ValueError("At least one model is required for comparison.")
-    unknown = [m for m in models if m not in MODELS]
-    if unknown:
-        raise ValueError(f"Unsupported model for comparison: {unknown[0]}")
-    return list(dict.fromkeys(models))
+    named = list(dict.fromkeys(ALIASES.get(m, m) for m in models))
+    if not named or not set(named) <= set(MODELS):
+        raise ValueError(f"Asked to compare {list(models)}; choose one or more of {sorted(MODELS)}.")
+    return named
 
 
 def compare_models(
@@ -77,10 +76,11 @@ def compare_models(
     to_run = wanted if NAIVE in wanted else [*wanted, NAIVE]
     used = feature_columns(dataset, features) if set(to_run) != {NAIVE} else []
     rows = stage(prepare_dataset(dataset, used))
+    chosen = {ALIASES.get(m, m): o for m, o in (options or {}).items()}
     everything = stage(
         union_forecasts(
             [
-                walk_forward(rows, m, min_train_size, used or None, **shared, **(options or {}).get(m, {}))
+                walk_forward(rows, m, min_train_size, used or None, **shared, **chosen.get(m, {}))
                 for m in to_run
             ]
         )

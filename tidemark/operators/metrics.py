@@ -39,7 +39,7 @@ def score_levels(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         level_direction(a, p).alias("level_direction"),
         F.count(a - p).alias("_n"),
     )
-    return Q.guard(scored, (F.col("_n") == 0, "Metric inputs must contain at least one observation.")).drop("_n")
+    return Q.guard(scored, (F.col("_n") == 0, "There is no pair of values to score.")).drop("_n")
 
 
 def complete(forecasts: DataFrame) -> DataFrame:
@@ -79,7 +79,7 @@ def evaluate_forecasts(forecasts: DataFrame, by: Sequence[str] = (), **sizing) -
         )
     )
     return Q.guard(
-        scored, (F.col("n_forecasts") == 0, "Forecast metrics require at least one non-missing forecast.")
+        scored, (F.col("n_forecasts") == 0, "No forecast has both a prediction and an actual value.")
     )
 
 
@@ -111,8 +111,8 @@ def compare_to_naive(model: DataFrame, naive: DataFrame) -> DataFrame:
         counts.append(F.count(a - p).alias(f"_{side}"))
     scored = Q.guard(
         aligned.agg(*columns, *counts, F.count(F.lit(1)).alias("_rows")),
-        (F.col("_rows") == 0, "No aligned forecasts available for naive comparison."),
-        (F.least("_model", "_naive") == 0, "Forecast metrics require at least one non-missing forecast."),
+        (F.col("_rows") == 0, "Model and benchmark have no forecast in common."),
+        (F.least("_model", "_naive") == 0, "No forecast has both a prediction and an actual value."),
     )
     flag = lambda c: F.when(c, F.lit(1.0)).otherwise(F.lit(0.0))
     return scored.select(
@@ -218,7 +218,7 @@ def metrics_table(
         ),
         (
             F.least("n_forecasts", "_naive_n") == 0,
-            "Forecast metrics require at least one non-missing forecast.",
+            "No forecast has both a prediction and an actual value.",
         ),
     )
     benchmark = F.col("model_name") == NAIVE

@@ -31,8 +31,10 @@ def normalize_report_forecasts(forecasts: DataFrame) -> DataFrame:
 
 
 def plot_ready_forecasts(forecasts: DataFrame) -> DataFrame:
-    """Forecasts that can be drawn: readable, with timestamp, actual and prediction."""
+    """Forecasts that can be drawn: readable, with timestamp, actual and prediction. No rows at all is an error."""
     Q.require_columns(forecasts, FORECAST_REPORT_COLUMNS, "forecast")
+    if forecasts.isEmpty():
+        raise ValueError("There are no forecasts to draw.")
     typed = forecasts.withColumns(
         {
             "forecast_timestamp": S.moment(forecasts, "forecast_timestamp"),
@@ -110,16 +112,16 @@ def metric_bars(metrics: DataFrame, wanted: Sequence[str] = ("rmse", "mae")) ->
     """Chart bars in long form: model, metric, value. A metric without any value fails."""
     unknown = [m for m in wanted if m not in ("rmse", "mae")]
     if unknown or not wanted:
-        raise ValueError(f"Unsupported metric for comparison plot: {unknown}")
+        raise ValueError(f"Bars can show rmse and mae, not {list(wanted)}.")
     Q.require_columns(metrics, ["model_name", *wanted], "metrics")
     typed = metrics.select("model_name", *[S.number(metrics, m).alias(m) for m in wanted])
     bars = typed.unpivot("model_name", list(wanted), "metric", "value")
     if metrics.isEmpty():
-        raise ValueError("Metric comparison plot requires at least one metrics row.")
+        raise ValueError("There are no metrics to draw.")
     counts = typed.agg(*[F.count(m).alias(m) for m in wanted]).first().asDict()
     empty = [m for m, n in counts.items() if not n]
     if empty:
-        raise ValueError(f"Metric comparison plot has no numeric values for {empty}.")
+        raise ValueError(f"No number to draw for {empty}.")
     return bars
 
 

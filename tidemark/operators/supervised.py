@@ -21,20 +21,19 @@ def supervised_guard(
     train: DataFrame, test: DataFrame, features: Sequence[str], target: str = "target_value", label: str = "Model"
 ) -> DataFrame:
     """Training rows that have a target, typed; too little to fit on is an error."""
-    if not features:
-        raise ValueError(f"{label} requires at least one feature column.")
-    unknown = [c for c in features if c not in train.columns or c not in test.columns]
-    if unknown:
-        raise ValueError(f"{label} feature columns are missing from train/test data: {unknown}")
-    if target not in train.columns:
-        raise ValueError(f"Training data missing target column: {target}")
-    typed = train.select(S.number(train, target).alias("_y"), *[S.number(train, c).alias(c) for c in features])
-    rows = typed.where(F.col("_y").isNotNull())
-    found = rows.agg(F.count(F.lit(1)), *[F.count(c) for c in features]).first()
-    if found[0] < 2:
-        raise ValueError(f"{label} requires at least two training rows with targets.")
-    if not any(found[1:]):
-        raise ValueError(f"{label} has no usable feature columns.")
+    wanted = {"training data": [target, *features], "test data": list(features)}
+    for place, frame in (("training data", train), ("test data", test)):
+        lost = [c for c in wanted[place] if c not in frame.columns]
+        if lost:
+            raise ValueError(f"{label}: {place} lacks {lost}.")
+    rows = train.select(S.number(train, target).alias("_y"), *[S.number(train, c).alias(c) for c in features]).where("_y is not null")
+    endless = lambda c: F.count_if(F.abs(F.col(c)) == float("inf")).alias(f"inf_{c}")
+    facts = rows.agg(F.count(F.lit(1)).alias("_n"), *[F.count(c).alias(c) for c in features], *[endless(c) for c in ("_y", *features)]).first()
+    infinite = [c for c in ("_y", *features) if facts[f"inf_{c}"]]
+    if infinite:
+        raise ValueError(f"{label}: training values must be finite or missing, unlike {[target if c == '_y' else c for c in infinite]}.")
+    if facts["_n"] < 2 or not any(facts[c] for c in features):
+        raise ValueError(f"{label}: nothing to learn from {facts['_n']} rows with a target and {sum(bool(facts[c]) for c in features)} features with values.")
     return rows
 
 

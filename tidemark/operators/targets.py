@@ -113,7 +113,7 @@ def validate_targets(targets: DataFrame, month_end_ids: Sequence[str] = (HEADLIN
     monthly = F.col("target_id").isin(list(month_end_ids))
     checked = Q.guard(
         typed,
-        (F.col("release_date").isNull(), "target release_date cannot be missing."),
+        (F.col("release_date").isNull(), "A target has no release_date."),
         (
             monthly & (F.col("release_date") <= F.last_day("reference_date")),
             F.concat(F.lit("Target released before its month ended: "), Q.shown("target_id", "reference_date", "release_date")),

@@ -60,7 +60,7 @@ def rolling_z_score(
     Missing unless all rows of the window hold a value.
     """
     if window < 2:
-        raise ValueError("window must be at least 2.")
+        raise ValueError("A window needs two rows or more.")
     now = S.number(df, value)
 
     def score(w):

@@ -73,8 +73,8 @@ def open_walk(
     warn_dropped(sizes, "target_value")
     if sizes.largest_group <= min_train_size:
         raise ValueError(
-            f"Insufficient rows for walk-forward validation: {sizes.largest_group} rows available, "
-            f"min_train_size={min_train_size}."
+            f"The longest timeline has {sizes.largest_group} rows with a target, which leaves nothing to "
+            f"forecast after min_train_size={min_train_size}."
         )
     rows = typed.where(F.col("target_value").isNotNull())
     line = timeline(rows, by, ORDER, sizes=sizes, rows_per_tile=rows_per_tile)
@@ -226,8 +226,8 @@ class _RidgeFolds:
     def _centred(self, pdf, shift):
         y = pdf["target_value"].to_numpy(float) - shift[0]
         x = pdf[self.names].to_numpy(float)
-        if np.isinf(x).any():
-            raise ValueError("Ridge features must be finite or missing.")
+        if np.isinf(x).any() or np.isinf(y).any():
+            raise ValueError("Ridge targets and features must be finite or missing.")
         mask = np.isnan(x)
         return y, np.where(mask, 0.0, x - shift[1:]), mask.astype(float)
 
@@ -276,9 +276,10 @@ class _RidgeFolds:
         for a in range(0, len(pdf), step):
             part = slice(a, a + step)
             rows = self._products(y[part], x[part], m[part])
-            after = sums + np.cumsum(rows, axis=0)
-            predictions[part] = self._solve(after - rows, trained[part], x[part], m[part], centres[part])
-            sums = after[-1]
+            # Sums before each row: a row's own values never enter its forecast, not even to be taken off again.
+            upto = np.cumsum(np.vstack([sums, rows]), axis=0)
+            predictions[part] = self._solve(upto[:-1], trained[part], x[part], m[part], centres[part])
+            sums = upto[-1]
         folds = trained >= self.min_train_size
         out = pdf[DATASET_COLUMNS].rename(columns={"target_value": "actual"})
         out["prediction"] = predictions + shift[0]

@@ -116,18 +116,6 @@ RUN_EVENTS = T.StructType(
 RUN_COLUMNS = [name for name in RUN_EVENTS.fieldNames() if name != "event_seq"]
 
 
-def dataset_schema(feature_columns):
-    """Schema of a model dataset with the given feature columns, for CSV reads."""
-    base = [
-        T.StructField("forecast_timestamp", T.TimestampType()),
-        T.StructField("target_id", T.StringType()),
-        T.StructField("target_reference_date", T.DateType()),
-        T.StructField("target_release_date", T.DateType()),
-        T.StructField("target_value", T.DoubleType()),
-    ]
-    return T.StructType(base + [T.StructField(name, T.DoubleType()) for name in feature_columns])
-
-
 def feature_columns(df, requested=None):
     """All ``feature_*`` columns, or the requested ones; none or unknown is an error."""
     found = list(requested) if requested is not None else [c for c in df.columns if c.startswith(FEATURE_PREFIX)]

@@ -1,5 +1,6 @@
 """Session helpers: a local session for tests and benches, and shared staging."""
 
+import re
 import tempfile
 import uuid
 
@@ -34,7 +35,7 @@ def staging_root(spark: SparkSession) -> str:
     context = spark.sparkContext
     if context.getCheckpointDir():
         return context.getCheckpointDir()
-    if not context.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
         raise RuntimeError("Set spark.checkpoint.dir to a folder all executors can reach.")
     context.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-checkpoint-"))
     return context.getCheckpointDir()

@@ -46,6 +46,11 @@ def _optional(df: DataFrame, name: str, default: str | None = None) -> Column:
     return F.coalesce(F.col(name), F.lit(default)) if name in df.columns else F.lit(default).cast("string")
 
 
+def _field_absent(rows: str, name: str) -> Column:
+    """Whether a response has rows but none of them has this field."""
+    return (F.size(rows) > 0) & ~F.exists(rows, lambda o: o[name].isNotNull())
+
+
 def normalize_fred(landed: DataFrame, merge_chunks: bool = False) -> DataFrame:
     """FRED responses as observations; ``merge_chunks`` drops rows that repeat fully."""
     Q.require_columns(landed, ["series_id", "payload", "fetched_at"], "landing")
@@ -64,6 +69,8 @@ def normalize_fred(landed: DataFrame, merge_chunks: bool = False) -> DataFrame:
             F.col("p.observations").isNull(),
             F.raise_error(F.concat(F.lit("FRED response without observations for "), "series_id")),
         )
+        .when(_field_absent("p.observations", "date"), F.raise_error(F.concat(F.lit("FRED observations lack dates for "), "series_id")))
+        .when(_field_absent("p.observations", "value"), F.raise_error(F.concat(F.lit("FRED observations lack values for "), "series_id")))
         .otherwise(F.col("p.observations"))
     )
     exploded = parsed.select(
@@ -100,7 +107,7 @@ def fred_release_date() -> Column:
             F.col("mode") == "initial_release",
             S.fail_when(own.isNull(), "initial_release observations need their own realtime_start.", own),
         )
-        .when(undated, F.raise_error(F.lit("FRED response did not include realtime_start metadata.")))
+        .when(undated, F.raise_error(F.lit("The response and its rows have no realtime_start.")))
         .otherwise(found)
     )
 
@@ -147,7 +154,9 @@ def normalize_bls(landed: DataFrame) -> DataFrame:
         .otherwise(F.col("entry")["data"])
     )
     listed = picked.select("series_id", "fetched_at", F.from_json(data, BLS_DATA).alias("data"))
-    readable = F.coalesce("data", asked("BLS response with unreadable data for "))
+    readable = F.when(_field_absent("data", "value"), asked("BLS observations lack values for ")).otherwise(
+        F.coalesce("data", asked("BLS response with unreadable data for "))
+    )
     exploded = listed.select("series_id", "fetched_at", F.explode_outer(readable).alias("o")).where("o is not null")
     incomplete = F.col("o.year").isNull() | F.col("o.period").isNull()
     return exploded.select(
@@ -175,12 +184,12 @@ def _validated(observations: DataFrame, source: str, released: bool, strict_valu
         S.moment(observations, "fetched_at").alias("fetched_at"),
     )
     rules = [
-        (F.col("series_id").isNull(), "series_id cannot contain missing values."),
+        (F.col("series_id").isNull(), "series_id is missing in a row."),
         (~F.col("source").eqNullSafe(F.lit(source)), f"Observations must have source='{source}'."),
-        (F.col("date").isNull(), "date cannot contain missing values."),
+        (F.col("date").isNull(), "date is missing in a row."),
     ]
     if released:
-        rules.append((F.col("release_date").isNull(), "release_date cannot contain missing values."))
+        rules.append((F.col("release_date").isNull(), "release_date is missing in a row."))
     return Q.guard(typed, *rules)
 
 

@@ -129,7 +129,7 @@ def run_states(events: DataFrame) -> DataFrame:
 def list_runs(runs: DataFrame, limit: int = 10, source: str | None = None, status: str | None = None) -> DataFrame:
     """The newest runs first; a top-k, so nothing is sorted as a whole."""
     if limit < 1:
-        raise ValueError("limit must be at least 1.")
+        raise ValueError("Ask for one run or more.")
     if source is not None:
         runs = runs.where(F.col("source") == source)
     if status is not None:
