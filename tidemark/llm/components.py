@@ -26,17 +26,22 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return made.where(F.col("a") != F.col("b")).distinct()
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether the links are stars: each child has one parent, and no parent is a child."""
+    up = edges.select(F.col("a").alias("node"), F.lit(1).alias("parents"), F.lit(0).alias("children"))
+    down = edges.select(F.col("b").alias("node"), F.lit(0).alias("parents"), F.lit(1).alias("children"))
+    nodes = up.unionByName(down).groupBy("node").agg(F.sum("parents").alias("parents"), F.sum("children").alias("children"))
+    return nodes.where("parents > 1 or parents = 1 and children > 0").agg(F.count("*")).first()[0] == 0
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node that has a link; root is the smallest node of its component.
 
     ``edges`` has columns a and b of one orderable type. NULLs and self-links are no links.
+    Rounds end as soon as all links are stars: a component is then one star around its
+    smallest node, since links go from the larger to the smaller node.
     """
     now = stage(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    mark = F.struct(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0)))
-    seen = now.agg(mark).first()[0]
-    while seen[0]:
+    while not _settled(now):
         now = stage(_star(_star(now, True), False))
-        was, seen = seen, now.agg(mark).first()[0]
-        if was == seen:
-            break
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
