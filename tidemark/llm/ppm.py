@@ -9,7 +9,9 @@ by one table: (longest known context, byte) -> bits in each language.
 
 Training is Spark's: texts are counted in tasks and summed by key. The sample is bounded by
 ``sample_chars`` characters for each language, taken by a hash of the id, and the table by
-``cells``; both are model parameters and do not touch which rows are predicted.
+``cells``; both are model parameters and do not touch which rows are predicted. The table is
+written to the shared folder block by block and mapped into memory by the tasks, so neither
+the driver nor a worker holds a copy of its own.
 """
 
 from __future__ import annotations
@@ -26,16 +28,37 @@ from tidemark.llm import shards
 ORDER = 3
 SAMPLE_CHARS = 4_000_000
 CELLS = 24_000_000
+_ROWS = 1024  # contexts whose shares are computed at once
 _LETTER = regex.compile(r"\p{L}")
 _PAD = b"   "
 _GRAMS = pa.schema([("lang", pa.int32()), ("gram", pa.int64()), ("n", pa.int64())])
 
 
 class ContextModel:
-    """Frozen costs: ``costs[state, symbol]`` bits for each language."""
+    """Frozen costs: row ``state * width + symbol`` of ``costs`` has the bits for each language.
 
-    def __init__(self, languages, symbol, width, states, costs):
-        self.languages, self.symbol, self.width, self.states, self.costs = languages, symbol, width, states, costs
+    ``states`` and ``costs`` are files in ``folder``, opened where the model is used.
+    """
+
+    def __init__(self, languages: list[str], symbol: np.ndarray, width: int, folder: str):
+        self.languages, self.symbol, self.width, self.folder = languages, symbol, width, folder
+        self._open: dict[str, np.ndarray] = {}
+
+    def __getstate__(self):
+        return self.__dict__ | {"_open": {}}
+
+    def _array(self, name: str) -> np.ndarray:
+        if name not in self._open:
+            self._open[name] = np.load(f"{self.folder}/{name}.npy", mmap_mode="r")
+        return self._open[name]
+
+    @property
+    def states(self) -> np.ndarray:
+        return self._array("states")
+
+    @property
+    def costs(self) -> np.ndarray:
+        return self._array("costs")
 
     def bits(self, texts: list[bytes]) -> np.ndarray:
         """Code length of each text in each language."""
@@ -53,7 +76,7 @@ class ContextModel:
         return out
 
 
-def _build(languages: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray, cells: int) -> ContextModel:
+def _build(languages: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray, cells: int, folder: str) -> ContextModel:
     """Costs from counts of byte runs of four (three of context, one that followed)."""
     grams = gram.astype(np.uint32).view(np.uint8).reshape(-1, 4)[:, ::-1]  # in reading order
     used = np.unique(np.r_[grams.ravel(), np.frombuffer(_PAD, np.uint8)])
@@ -61,11 +84,20 @@ def _build(languages: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarr
     symbol[used] = np.arange(len(used))
     width, k = len(used) + 1, len(languages)
     g = symbol[grams].astype(np.int64)
+    room = max(0, cells // (width * k) - width)
+    states = np.tile(np.arange(width, dtype=np.int32), width * width)  # the last byte alone
 
-    def table(depth, ids, count):
-        """Counts (id, symbol, language) of contexts of this depth that have a row."""
-        at = (ids * width + g[:, 3]) * k + lang
-        return np.bincount(at, n, count * width * k).reshape(count, width, k)
+    # The most frequent contexts of two and three bytes get a row, up to half of the room each.
+    depths = []
+    for key in (g[:, 2] + g[:, 1] * width, g[:, 2] + (g[:, 1] + g[:, 0] * width) * width):
+        keys, where = np.unique(key, return_inverse=True)
+        keep = np.sort(np.lexsort((keys, -np.bincount(where, n)))[: room // 2])
+        row = np.full(len(keys), -1)
+        row[keep] = np.arange(len(keep))
+        depths.append((keys[keep], row[where]))
+    total = width + sum(len(keys) for keys, _ in depths)
+    costs = np.lib.format.open_memmap(f"{folder}/costs.npy", "w+", np.float32, (total * width, k))
+    table = costs.reshape(total, width, k)
 
     def blend(counts, shorter):
         total, kinds = counts.sum(1, keepdims=True), (counts > 0).sum(1, keepdims=True)
@@ -73,34 +105,31 @@ def _build(languages: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarr
             p = np.where(counts > 0, counts / (total + kinds), kinds / (total + kinds) * shorter)
         return np.where(total > 0, p, shorter)
 
-    none = np.zeros(len(g), np.int64)
-    p0 = blend(table(0, none, 1), np.full((1, width, k), 1 / 256))
-    p1 = blend(table(1, g[:, 2], width), p0)
-    room = max(0, cells // (width * k) - width)
-    states = np.tile(np.arange(width), width * width).astype(np.int32)  # the last byte alone
-    costs, firsts = [p1], width
-    for depth in (2, 3):
-        key = g[:, 2] + g[:, 1] * width if depth == 2 else g[:, 2] + (g[:, 1] + g[:, 0] * width) * width
-        keys, where = np.unique(key, return_inverse=True)
-        seen = np.bincount(where, n)
-        # The most frequent contexts get a row, up to half of the room for each depth.
-        keep = np.sort(np.lexsort((keys, -seen))[: room // 2])
-        row = np.full(len(keys), -1)
-        row[keep] = np.arange(len(keep))
-        mine = row[where] >= 0
-        at = (row[where[mine]] * width + g[mine, 3]) * k + lang[mine]
-        counts = np.bincount(at, n[mine], len(keep) * width * k).reshape(len(keep), width, k)
-        under = states[keys[keep]] if len(keep) else np.empty(0, int)
-        shorter = np.concatenate(costs)[under] if len(keep) else np.empty((0, width, k))
-        costs.append(blend(counts, shorter))
-        if depth == 2:
-            two = states.reshape(width, width * width)
-            two[:, keys[keep]] = firsts + np.arange(len(keep))
-        else:
-            states[keys[keep]] = firsts + np.arange(len(keep))
-        firsts += len(keep)
-    bits = -np.log2(np.concatenate(costs)).astype(np.float32)
-    return ContextModel(languages, symbol, width, states, np.ascontiguousarray(bits.reshape(-1, k)))
+    def fill(first, row, count, shorter):
+        """Shares of the contexts from row ``first`` on, ``_ROWS`` contexts at a time."""
+        order = np.argsort(row, kind="stable")
+        edges = np.searchsorted(row[order], np.arange(0, count + _ROWS, _ROWS))
+        for i, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
+            low, size, mine = i * _ROWS, min(_ROWS, count - i * _ROWS), order[a:b]
+            at = ((row[mine] - low) * width + g[mine, 3]) * k + lang[mine]
+            counts = np.bincount(at, n[mine], size * width * k).reshape(size, width, k)
+            table[first + low : first + low + size] = blend(counts, shorter(slice(low, low + size)))
+
+    at = (g[:, 3] * k + lang, n, width * k)
+    p0 = blend(np.bincount(*at).reshape(1, width, k), np.full((1, width, k), 1 / 256))
+    fill(0, g[:, 2], width, lambda _: p0)
+    first = width
+    for depth, (keys, row) in enumerate(depths, 2):
+        under = states[keys]
+        fill(first, row, len(keys), lambda part, under=under: table[under[part]])
+        into = states.reshape(width, width * width) if depth == 2 else states
+        into[..., keys] = first + np.arange(len(keys))
+        first += len(keys)
+    for i in range(0, total, _ROWS):
+        table[i : i + _ROWS] = -np.log2(table[i : i + _ROWS])
+    costs.flush()
+    shards.save(f"{folder}/states.npy", states)
+    return ContextModel(languages, symbol, width, folder)
 
 
 def train(labelled: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", sample_chars=SAMPLE_CHARS, cells=CELLS):
@@ -132,7 +161,8 @@ def train(labelled: DataFrame, id_col="doc_id", text_col="text", lang_col="lang"
         return None
     lang, gram, n = (counts.column(c).to_numpy() for c in ("lang", "gram", "n"))
     order = np.lexsort((gram, lang))
-    return _build(languages, lang[order].astype(np.int64), gram[order], n[order], cells)
+    folder = shards.shared_folder(labelled.sparkSession, "contexts")
+    return _build(languages, lang[order].astype(np.int64), gram[order], n[order], cells, folder)
 
 
 def identify(docs: DataFrame, model: ContextModel | None, text_col="text") -> DataFrame:
