@@ -170,13 +170,14 @@ def enrich_series(spark, sf_dir):
 def _response(rows, *observations):
     """One response per row, stating 2026-01-01 as its own start."""
     body = F.struct(F.lit("2026-01-01").alias("realtime_start"), F.array(*observations).alias("observations"))
-    return rows.withColumn("payload", F.to_json(body)).withColumn("fetched_at", F.lit("2026-01-01").cast("timestamp"))
+    return rows.withColumn("payload", F.to_json(body, {"ignoreNullFields": "false"})).withColumn("fetched_at", F.lit("2026-01-01").cast("timestamp"))
 
 
 def _sent(date, value, released):
-    return F.struct(
-        released.cast("string").alias("realtime_start"), date.cast("string").alias("date"), value.cast("string").alias("value")
-    )
+    """An observation as sent: a missing value is a null, a missing release date is no field."""
+    fields = {"realtime_start": released, "date": date, "value": value}
+    sent = F.create_map(*[part for name, c in fields.items() for part in (F.lit(name), c.cast("string"))])
+    return F.map_filter(sent, lambda name, c: c.isNotNull() | (name != "realtime_start"))
 
 
 @query

@@ -12,22 +12,22 @@ from tidemark.sources.payloads import LANDING
 
 def landed(spark, payload, mode=None, requested=None, series="CPIAUCSL"):
     text = payload if isinstance(payload, str) else json.dumps(payload)
-    return spark.createDataFrame([(series, mode, requested, ts("2026-05-21T21:00:00"), text)], LANDING)
+    return spark.createDataFrame([(series, mode, requested, ts("2026-03-04T10:00:00"), text)], LANDING)
 
 
 def fred(*observations, **top):
     return {"realtime_start": "2026-05-01", "observations": list(observations), **top}
 
 
-ONE = {"realtime_start": "2020-02-13", "date": "2020-01-01", "value": "258.678"}
+ONE = {"realtime_start": "2019-08-14", "date": "2019-07-01", "value": "311.25"}
 
 
 def test_fred_rows(spark):
-    made = P.normalize_fred(landed(spark, fred(ONE, {**ONE, "date": "2020-02-01", "value": "."}, {**ONE, "date": "2020-03-01", "value": "x"})))
+    made = P.normalize_fred(landed(spark, fred(ONE, {**ONE, "date": "2019-08-01", "value": "."}, {**ONE, "date": "2019-09-01", "value": "x"})))
     assert rows(made.select("date", "value", "source", "release_date"), "date") == [
-        (d("2020-01-01"), 258.678, "fred", d("2020-02-13")),
-        (d("2020-02-01"), None, "fred", d("2020-02-13")),
-        (d("2020-03-01"), None, "fred", d("2020-02-13")),
+        (d("2019-07-01"), 311.25, "fred", d("2019-08-14")),
+        (d("2019-08-01"), None, "fred", d("2019-08-14")),
+        (d("2019-09-01"), None, "fred", d("2019-08-14")),
     ]
     assert P.normalize_fred(landed(spark, fred())).count() == 0
     breaks(lambda: P.normalize_fred(landed(spark, {"realtime_start": "2026-05-01"})), "without observations")
@@ -35,22 +35,36 @@ def test_fred_rows(spark):
     breaks(lambda: P.normalize_fred(landed(spark, fred(ONE), "newest")), "Unsupported vintage_mode")
 
 
+def test_a_null_is_not_an_absent_field(spark):
+    without = lambda name: {k: v for k, v in ONE.items() if k != name}
+    made = P.normalize_fred(landed(spark, fred({**ONE, "value": None})))
+    assert rows(made.select("date", "value")) == [(d("2019-07-01"), None)]
+    breaks(lambda: P.normalize_fred(landed(spark, fred(without("value")))), "lack values")
+    breaks(lambda: P.normalize_fred(landed(spark, fred(without("date")))), "lack dates")
+    assert P.normalize_fred(landed(spark, fred({**ONE, "date": None}))).first().date is None
+    # A null release date is the row's own, so the response's start does not replace it.
+    assert P.normalize_fred(landed(spark, fred({**ONE, "realtime_start": None}))).first().release_date is None
+    entry = {"year": "2026", "period": "M01"}
+    assert P.normalize_bls(landed(spark, bls({**entry, "value": None}), series="CUSR0000SA0")).first().value is None
+    breaks(lambda: P.normalize_bls(landed(spark, bls(entry), series="CUSR0000SA0")), "lack values")
+
+
 def test_fred_release_dates_by_mode(spark):
-    bare = {"date": "2020-01-01", "value": "1"}
+    bare = {"date": "2019-07-01", "value": "1"}
     release = lambda df: [r.release_date for r in P.normalize_fred(df).orderBy("date").collect()]
-    assert release(landed(spark, fred(ONE), "initial_release")) == [d("2020-02-13")]
+    assert release(landed(spark, fred(ONE), "initial_release")) == [d("2019-08-14")]
     breaks(lambda: P.normalize_fred(landed(spark, fred(bare), "initial_release")), "own realtime_start")
     breaks(lambda: P.normalize_fred(landed(spark, fred(ONE, bare), "initial_release")), "own realtime_start")
     assert release(landed(spark, fred(bare), "realtime_period", "2019-01-01")) == [d("2019-01-01")]
     assert release(landed(spark, fred(bare))) == [d("2026-05-01")]
     breaks(lambda: P.normalize_fred(landed(spark, fred(bare, realtime_start=None))), "have no realtime_start")
     # Once one observation is dated, an undated one stays undated.
-    later = {**bare, "date": "2020-02-01"}
-    assert release(landed(spark, fred(ONE, later))) == [d("2020-02-13"), None]
+    later = {**bare, "date": "2019-08-01"}
+    assert release(landed(spark, fred(ONE, later))) == [d("2019-08-14"), None]
 
 
 def test_overlapping_chunks_keep_each_row_once(spark):
-    two = landed(spark, fred(ONE)).unionByName(landed(spark, fred(ONE, {**ONE, "date": "2020-02-01"})))
+    two = landed(spark, fred(ONE)).unionByName(landed(spark, fred(ONE, {**ONE, "date": "2019-08-01"})))
     assert P.normalize_fred(two).count() == 3
     assert P.normalize_fred(two, merge_chunks=True).count() == 2
 

@@ -17,7 +17,7 @@ def store(spark, tmp_path):
     return ObservationStore(spark, str(tmp_path / "store"))
 
 
-def batch(spark, value=258.678, release="2020-02-13", fetched="2026-05-21T21:00:00", series="CPIAUCSL", date="2020-01-01", source="fred"):
+def batch(spark, value=311.25, release="2019-08-14", fetched="2026-03-04T10:00:00", series="CPIAUCSL", date="2019-07-01", source="fred"):
     released = None if release is None else d(release)
     return spark.createDataFrame([(series, d(date), value, source, released, ts(fetched))], OBSERVATIONS)
 
@@ -29,9 +29,9 @@ def counts(**given):
 def test_upsert_inserts_skips_and_updates(spark, store):
     assert store.upsert(batch(spark)) == counts(rows_seen=1, inserted=1)
     assert store.upsert(batch(spark)) == counts(rows_seen=1, skipped=1)
-    assert store.upsert(batch(spark, 259.123)) == counts(rows_seen=1, updated=1)
-    assert store.upsert(batch(spark, 259.123, fetched="2026-05-22T21:00:00")) == counts(rows_seen=1, updated=1)
-    assert rows(store.read().select("value", "fetched_at")) == [(259.123, ts("2026-05-22T21:00:00"))]
+    assert store.upsert(batch(spark, 312.5)) == counts(rows_seen=1, updated=1)
+    assert store.upsert(batch(spark, 312.5, fetched="2026-03-05T10:00:00")) == counts(rows_seen=1, updated=1)
+    assert rows(store.read().select("value", "fetched_at")) == [(312.5, ts("2026-03-05T10:00:00"))]
     assert store.upsert(batch(spark).limit(0)) == counts()
 
 
@@ -96,14 +96,14 @@ def test_bucket_count_is_a_property_of_the_table(spark, store):
 
 def test_run_log(spark, store):
     assert store.get_run(1) is None and store.list_runs().count() == 0
-    first = store.start_run("fred", "A", {"b": 1, "a": d("2020-01-01")})
+    first = store.start_run("fred", "A", {"b": 1, "a": d("2019-07-01")})
     assert store.get_run(first)["status"] == "started"
     store.finish_run(first, counts(rows_seen=3, inserted=2, skipped=1))
     second = store.start_run("bls", "B")
     store.fail_run(second, "boom")
     done, failed = store.get_run(first), store.get_run(second)
     assert (done["status"], done["rows_seen"], done["inserted"], done["error_message"]) == ("succeeded", 3, 2, None)
-    assert done["parameters_json"] == '{"a": "2020-01-01", "b": 1}' and done["finished_at"] >= done["started_at"]
+    assert done["parameters_json"] == '{"a": "2019-07-01", "b": 1}' and done["finished_at"] >= done["started_at"]
     assert (failed["status"], failed["rows_seen"], failed["error_message"]) == ("failed", 0, "boom")
     assert [r.id for r in store.list_runs().collect()] == [2, 1]
     assert [r.id for r in store.list_runs(source="fred", status="succeeded").collect()] == [1]
@@ -147,7 +147,7 @@ def test_ingest_bls_with_a_calendar(spark, store, tmp_path):
     calendar = tmp_path / "calendar.csv"
     calendar.write_text("release_name,reference_period,release_date,release_time\nCPI,2026-01,2026-02-12,08:30\n")
     path = str(tmp_path / "landing")
-    with pytest.raises(ValueError, match="missing reference periods"):
+    with pytest.raises(ValueError, match="No release date is known for 2026-02"):
         commands.ingest_bls(store, path, "CUSR0000SA0", str(calendar), strict_calendar=True)
     assert store.get_run(1)["status"] == "failed"
     with pytest.warns(RuntimeWarning):

@@ -21,6 +21,9 @@ FRED_PAYLOAD = (
 # Series entries stay maps: vendors spell the name key in two ways that differ by case.
 BLS_PAYLOAD = "Results struct<series: array<map<string, string>>>"
 BLS_DATA = "array<struct<year: string, period: string, value: string>>"
+# The same observations with their keys, which tell a missing value from a missing field.
+FRED_KEYED = "observations array<map<string, string>>"
+BLS_KEYED = "array<map<string, string>>"
 
 LANDING = T.StructType(
     [
@@ -46,9 +49,19 @@ def _optional(df: DataFrame, name: str, default: str | None = None) -> Column:
     return F.coalesce(F.col(name), F.lit(default)) if name in df.columns else F.lit(default).cast("string")
 
 
-def _field_absent(rows: str, name: str) -> Column:
+def _has_field(rows: str, name: str, keyed: Column) -> Column:
+    """Whether some row of a response has this field, be it as a null.
+
+    ``keyed`` parses the text again, which only responses without any value come to.
+    """
+    return F.when(F.exists(rows, lambda o: o[name].isNotNull()), True).otherwise(
+        F.exists(keyed, lambda o: F.map_contains_key(o, name))
+    )
+
+
+def _field_absent(rows: str, name: str, keyed: Column) -> Column:
     """Whether a response has rows but none of them has this field."""
-    return (F.size(rows) > 0) & ~F.exists(rows, lambda o: o[name].isNotNull())
+    return (F.size(rows) > 0) & ~_has_field(rows, name, keyed)
 
 
 def normalize_fred(landed: DataFrame, merge_chunks: bool = False) -> DataFrame:
@@ -59,8 +72,10 @@ def normalize_fred(landed: DataFrame, merge_chunks: bool = False) -> DataFrame:
         "fetched_at",
         _optional(landed, "vintage_mode", "current").alias("mode"),
         _optional(landed, "request_realtime_start").alias("requested"),
+        "payload",
         F.from_json("payload", FRED_PAYLOAD).alias("p"),
     )
+    keyed = F.from_json("payload", FRED_KEYED)["observations"]
     # Checked in the projection and exploded as outer, so that no derived filter makes
     # Spark parse the JSON a second time.
     observations = (
@@ -69,8 +84,8 @@ def normalize_fred(landed: DataFrame, merge_chunks: bool = False) -> DataFrame:
             F.col("p.observations").isNull(),
             F.raise_error(F.concat(F.lit("FRED response without observations for "), "series_id")),
         )
-        .when(_field_absent("p.observations", "date"), F.raise_error(F.concat(F.lit("FRED observations lack dates for "), "series_id")))
-        .when(_field_absent("p.observations", "value"), F.raise_error(F.concat(F.lit("FRED observations lack values for "), "series_id")))
+        .when(_field_absent("p.observations", "date", keyed), F.raise_error(F.concat(F.lit("FRED observations lack dates for "), "series_id")))
+        .when(_field_absent("p.observations", "value", keyed), F.raise_error(F.concat(F.lit("FRED observations lack values for "), "series_id")))
         .otherwise(F.col("p.observations"))
     )
     exploded = parsed.select(
@@ -78,7 +93,7 @@ def normalize_fred(landed: DataFrame, merge_chunks: bool = False) -> DataFrame:
         "fetched_at",
         "mode",
         F.coalesce("requested", "p.realtime_start").alias("stated"),
-        F.exists("p.observations", lambda o: o["realtime_start"].isNotNull()).alias("dated"),
+        _has_field("p.observations", "realtime_start", keyed).alias("dated"),
         F.explode_outer(observations).alias("o"),
     ).where("o is not null")
     rows = exploded.select("series_id", "fetched_at", "o.date", "o.value", fred_release_date().alias("release_date"))
@@ -153,8 +168,8 @@ def normalize_bls(landed: DataFrame) -> DataFrame:
         .when(F.col("entry")["data"].isNull(), asked("BLS response without data for "))
         .otherwise(F.col("entry")["data"])
     )
-    listed = picked.select("series_id", "fetched_at", F.from_json(data, BLS_DATA).alias("data"))
-    readable = F.when(_field_absent("data", "value"), asked("BLS observations lack values for ")).otherwise(
+    listed = picked.select("series_id", "fetched_at", data.alias("text"), F.from_json(data, BLS_DATA).alias("data"))
+    readable = F.when(_field_absent("data", "value", F.from_json("text", BLS_KEYED)), asked("BLS observations lack values for ")).otherwise(
         F.coalesce("data", asked("BLS response with unreadable data for "))
     )
     exploded = listed.select("series_id", "fetched_at", F.explode_outer(readable).alias("o")).where("o is not null")
