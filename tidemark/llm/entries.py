@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their SQL."""
 
-from tidemark.llm import bpe, capfilters, decontam, lm, ppm, secrets, seeds, setsketch, suffix, warc
+from tidemark.llm import bpe, capfilters, conversations, decontam, lm, ppm, secrets, seeds, setsketch, suffix, warc
 
 QUERIES = {
     "op1_lm_scoring": lm.query,
@@ -13,10 +13,12 @@ QUERIES = {
     "op8_substring_dedup": seeds.query,
     "op9_cap_filters": capfilters.query,
     "op10_language_id": ppm.query,
+    "op13_conversation_repair": conversations.query,
 }
 
 ORACLE: dict[str, str] = {
     "op4_warc": warc.ORACLE,
     "op8_substring_dedup": seeds.ORACLE,
     "op9_cap_filters": capfilters.ORACLE,
+    "op13_conversation_repair": conversations.ORACLE,
 }
