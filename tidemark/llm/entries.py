@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their SQL."""
 
-from tidemark.llm import bpe, capfilters, conversations, decontam, lm, merkle, ppm, secrets, seeds, setsketch, suffix, warc
+from tidemark.llm import bpe, capfilters, conversations, decontam, fst, lm, merkle, ppm, secrets, seeds, setsketch, suffix, warc
 
 QUERIES = {
     "op1_lm_scoring": lm.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_substring_dedup": seeds.query,
     "op9_cap_filters": capfilters.query,
     "op10_language_id": ppm.query,
+    "op11_token_counts": fst.query,
     "op12_merkle_manifest": merkle.query,
     "op13_conversation_repair": conversations.query,
 }
