@@ -140,6 +140,34 @@ NEEDS = {
 }
 
 
+def _stump(cuts: str, columns: str, tested: str) -> str:
+    """Boosting with one tree of two leaves on feature x, one model per cutoff of ``cuts``.
+
+    Edges are values at set ranks of the rows before the cutoff at which training rows last doubled.
+    """
+    return f"""
+        SELECT * FROM (
+        WITH RECURSIVE cuts AS ({cuts}),
+        ep AS (SELECT min(c) AS c, min(nb) AS nb FROM cuts UNION ALL
+          SELECT (SELECT min(c) FROM cuts WHERE cuts.nb >= 2 * ep.nb), (SELECT min(nb) FROM cuts WHERE cuts.nb >= 2 * ep.nb)
+          FROM ep WHERE EXISTS (SELECT 1 FROM cuts WHERE cuts.nb >= 2 * ep.nb)),
+        edges AS (SELECT DISTINCT e, v FROM (
+            SELECT ep.c AS e, d.x AS v, row_number() OVER (PARTITION BY ep.c ORDER BY d.x) - 1 AS r, count(*) OVER (PARTITION BY ep.c) AS n
+            FROM ep JOIN ds d ON d.forecast_timestamp < ep.c AND d.x IS NOT NULL)
+          WHERE ((r * 255 + n - 1) // n) * n // 255 = r AND (r * 255 + n - 1) // n < 255),
+        own AS (SELECT cuts.c, max(ep.c) AS e FROM cuts JOIN ep ON ep.c <= cuts.c GROUP BY cuts.c),
+        tr AS (SELECT own.c, own.e, d.y - avg(d.y) OVER w AS g, avg(d.y) OVER w AS base, median(d.x) OVER w AS med, d.x
+          FROM own JOIN ds d ON d.forecast_timestamp < own.c WINDOW w AS (PARTITION BY own.c)),
+        cand AS (SELECT tr.c, ed.v, count(*) AS n, count(*) FILTER (coalesce(x, med) < v) AS nl, sum(g) AS s,
+            coalesce(sum(g) FILTER (coalesce(x, med) < v), 0) AS sl FROM tr JOIN edges ed ON ed.e = tr.e GROUP BY tr.c, ed.v),
+        best AS (SELECT *, sl * sl / nl + (s - sl) * (s - sl) / (n - nl) - s * s / n AS gain FROM cand WHERE nl >= 5 AND n - nl >= 5
+          QUALIFY row_number() OVER (PARTITION BY c ORDER BY gain DESC, v) = 1),
+        m AS (SELECT DISTINCT tr.c, base, med, v, n, nl, s, sl FROM tr LEFT JOIN best ON best.c = tr.c AND gain > 0),
+        scored AS (SELECT f.*, base + coalesce(0.05 * CASE WHEN coalesce(x, med, '-infinity'::DOUBLE) < v THEN sl / nl ELSE (s - sl) / (n - nl) END, 0) AS p
+          FROM ds f JOIN m ON {tested})
+        {columns} FROM scored)"""
+
+
 def _with(select: str, *names: str) -> str:
     order: list[str] = []
 
@@ -406,6 +434,24 @@ ORACLE: dict[str, str] = {
            WHERE forecast_timestamp >= TIMESTAMP '1999-01-01'""",
         "ds",
     ),
+    "fit_predict_stump": _with(
+        _stump(
+            "SELECT TIMESTAMP '1999-01-01' AS c, count(*) AS nb FROM ds WHERE forecast_timestamp < TIMESTAMP '1999-01-01'",
+            """SELECT forecast_timestamp, target_id, target_reference_date, target_release_date, target_value,
+                      "feature_A_F_latest", round(p, 6) AS prediction""",
+            "f.forecast_timestamp >= m.c",
+        ),
+        "ds",
+    ),
+    "walk_forward_stump": _with(
+        _stump(
+            """SELECT c, count(*) AS nb FROM (SELECT DISTINCT forecast_timestamp AS c FROM ds WHERE rn > 24) JOIN ds ON forecast_timestamp < c
+               GROUP BY c""",
+            f"""SELECT {KEYS4}, y AS actual, round(p, 6) AS prediction, 'boosted_trees' AS model_name, rn - 24 AS fold_number""",
+            "f.forecast_timestamp = m.c AND f.rn > 24",
+        ),
+        "ds",
+    ),
     "supervised_guard": _with(
         """SELECT count(*) AS train_rows, count("feature_A_F_latest") AS "known_feature_A_F_latest",
                   count("feature_N_O_latest") AS "known_feature_N_O_latest" FROM ds""",
@@ -453,6 +499,12 @@ ORACLE: dict[str, str] = {
                   round(rmse_vs_naive, 6) AS rmse_vs_naive, round(mae_vs_naive, 6) AS mae_vs_naive FROM metrics""",
         "metrics",
     ),
+    "compare_models_linear": _with(
+        """SELECT model_name, n_forecasts, round(rmse, 6) AS rmse, round(mae, 6) AS mae,
+                  round(directional_accuracy, 6) AS directional_accuracy, beats_naive_rmse, beats_naive_mae,
+                  round(rmse_vs_naive, 6) AS rmse_vs_naive, round(mae_vs_naive, 6) AS mae_vs_naive FROM metrics""",
+        "metrics",
+    ),
     "verdicts": _with(
         """SELECT model_name, CASE WHEN beats_naive_rmse = 1 THEN 'beats' ELSE 'does not beat' END AS rmse_verdict,
                   CASE WHEN beats_naive_mae = 1 THEN 'beats' ELSE 'does not beat' END AS mae_verdict

@@ -486,6 +486,29 @@ def fit_predict_boosted(spark, sf_dir):
     return supervised.fit_predict_boosted(rows.where(split), rows.where(~split), [FEATURE])
 
 
+@query
+def fit_predict_stump(spark, sf_dir):
+    """One round of trees with two leaves, which SQL can follow."""
+    rows = stage(one_feature(spark, sf_dir))
+    split = F.col("forecast_timestamp") < "1999-01-01"
+    made = supervised.fit_predict_boosted(rows.where(split), rows.where(~split), [FEATURE], rounds=1, leaves=2)
+    return rounded(made, "prediction")
+
+
+@query
+def walk_forward_stump(spark, sf_dir):
+    """One such tree for every forecast time."""
+    made = comparison.walk_forward(dataset(spark, sf_dir), "boosted_trees", MIN_TRAIN, [FEATURE], rounds=1, leaves=2)
+    return rounded(made, "prediction")
+
+
+@query
+def compare_models_linear(spark, sf_dir):
+    """The models that SQL can follow, over one fold table."""
+    _, table = comparison.compare_models(one_feature(spark, sf_dir), [NAIVE, "ridge"], MIN_TRAIN)
+    return rounded(table, "rmse", "mae", "directional_accuracy", "rmse_vs_naive", "mae_vs_naive")
+
+
 @query
 def walk_forward_boosted(spark, sf_dir):
     return comparison.walk_forward(dataset(spark, sf_dir), "boosted_trees", MIN_TRAIN)

@@ -4,8 +4,9 @@ import pytest
 from helpers import rows
 from pyspark.sql import functions as F
 
-from tidemark.functions.expanding import exact_medians
+from tidemark.functions import ranks
 from tidemark.functions.ordered import measure, timeline
+from tidemark.functions.ranks import exact_medians, exact_ranks
 from tidemark.operators.transforms import difference, percent_change, rolling_z_score
 
 
@@ -87,11 +88,19 @@ def test_transforms_on_tiles(hot, by):
         assert clean(make(rows_per_tile=50)) == clean(make(bounded=True))
 
 
-def test_exact_medians_at_any_size(spark):
+def test_exact_ranks_of_many_columns(spark, monkeypatch):
     rng = random.Random(3)
-    data = [(rng.gauss(0, 1), float(rng.randrange(3)), None, 5.0, rng.random() if i % 2 else None) for i in range(4001)]
+    data = [(rng.gauss(0, 1), float(rng.randrange(3)), None, 5.0, rng.choice([-0.0, 0.0, float("inf"), -1e300, 1e-310]) if i % 2 else None) for i in range(4001)]
     names = ["a", "b", "c", "d", "e"]
-    frame = spark.createDataFrame(data, "a double, b double, c double, d double, e double").cache()
-    small = exact_medians(frame, names)
-    assert exact_medians(frame, names, exact_rows=50) == small
-    assert small["c"] is None and small["d"] == 5.0
+    frame = spark.createDataFrame(data, "a double, b double, c double, d double, e double").repartition(5).cache()
+    columns = {n: sorted(r[i] for r in data if r[i] is not None) for i, n in enumerate(names)}
+    ranks_of = lambda n: [0, n // 3, n // 3, n - 1]
+    expected = {n: [v[k] for k in ranks_of(len(v))] if v else [] for n, v in columns.items()}
+    medians = exact_medians(frame, names)
+    assert exact_ranks(frame, names, ranks_of) == expected
+    # With no candidate fetched early, every bit is decided by counting.
+    monkeypatch.setattr(ranks, "FEW", 0)
+    assert exact_ranks(frame, names, ranks_of) == expected
+    assert exact_medians(frame, names) == medians
+    assert medians["c"] is None and medians["d"] == 5.0 and medians["a"] == columns["a"][2000]
+    assert exact_medians(frame.limit(0), names) == dict.fromkeys(names) and exact_ranks(frame, [], ranks_of) == {}

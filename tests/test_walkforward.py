@@ -178,7 +178,7 @@ def test_supervised_guard(spark):
 
 def test_boosted_trees(noisy):
     _, frame = noisy
-    fast = {"maxIter": 3, "maxDepth": 2}
+    fast = {"rounds": 3, "leaves": 4}
     made = walk_forward(frame, "boosted_trees", 24, refit_every=100, **fast).cache()
     naive = W.walk_forward_naive(frame, 24)
     keys = ["target_id", "target_reference_date", "fold_number"]

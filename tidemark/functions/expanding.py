@@ -1,4 +1,4 @@
-"""Exact medians: of all earlier rows of a timeline, and of whole columns."""
+"""Exact medians of all earlier rows of a timeline."""
 
 from collections.abc import Sequence
 from dataclasses import replace
@@ -142,60 +142,3 @@ def _tile_medians(rows: pd.DataFrame, prefix: pd.DataFrame, columns: Sequence[st
     start = np.concatenate([np.full(low - both, -far), inner, np.full(high - both, far)])
     medians = exclusive_median(np.concatenate([start, rows["_v"].to_numpy(float)]))
     return rows[list(columns)].assign(_m=medians[len(start) :])
-
-
-EXACT_ROWS = 1_000_000
-COLUMNS_PER_JOB = 8
-
-
-def exact_medians(df: DataFrame, columns: Sequence[str], exact_rows: int | None = None) -> dict[str, float | None]:
-    """The exact median of each column, at any size.
-
-    Up to ``exact_rows`` values go through Spark's ``percentile``. A larger column is
-    bracketed with ``percentile_approx``, whose bracket is checked by exact counts and
-    narrowed until what lies inside is small. Only counts and bounds reach the driver.
-    """
-    limit = exact_rows or EXACT_ROWS
-    counts = df.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(columns)]).first()
-    small = [c for c, n in zip(columns, counts) if 0 < n <= limit]
-    medians: dict[str, float | None] = {c: None for c in columns}
-    # A few columns per job: an exact percentile keeps a column's distinct values.
-    for a in range(0, len(small), COLUMNS_PER_JOB):
-        part = small[a : a + COLUMNS_PER_JOB]
-        row = df.agg(*[F.percentile(c, 0.5).alias(f"m{i}") for i, c in enumerate(part)]).first()
-        medians.update(zip(part, row))
-    for c, n in zip(columns, counts):
-        if n > limit:
-            low, high = (_ranked(df, c, k, n, limit) for k in ((n - 1) // 2, n // 2))
-            medians[c] = low if low == high else (low + high) / 2
-    return medians
-
-
-def _ranked(df: DataFrame, column: str, k: int, n: int, limit: int) -> float:
-    """The value with 0-based rank ``k`` among the ``n`` non-missing ones."""
-    values = df.where(F.col(column).isNotNull()).select(F.col(column).alias("v"))
-    inside, below, size = values, 0, n
-    while size > limit:
-        share = (k - below) / size
-        spread = max(4e-4, 8 / size)
-        ends = [max(share - spread, 0.0), min(share + spread, 1.0)]
-        low, high = inside.agg(F.percentile_approx("v", ends, 10_000)).first()[0]
-        lower, within = inside.agg(
-            F.count_if(F.col("v") < low), F.count_if((F.col("v") >= low) & (F.col("v") <= high))
-        ).first()
-        if not lower <= k - below < lower + within:
-            # The approximate bracket missed: keep the side that holds the rank.
-            part = F.col("v") < low if k - below < lower else F.col("v") > high
-            below += 0 if k - below < lower else lower + within
-            inside, size = inside.where(part), (lower if k - below < lower else size - lower - within)
-            continue
-        if low == high:
-            return low
-        if within == size:
-            # Heavy ties: count copies per distinct value instead.
-            break
-        inside, below, size = inside.where((F.col("v") >= low) & (F.col("v") <= high)), below + lower, within
-    # At most `limit` distinct values are left, so one ordered task may count through them.
-    copies = inside.groupBy("v").agg(F.count(F.lit(1)).alias("copies"))
-    upto = F.sum("copies").over(Window.orderBy("v"))
-    return copies.withColumn("upto", upto).where(F.col("upto") > k - below).agg(F.min("v")).first()[0]

@@ -3,19 +3,13 @@
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.ml import Pipeline
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
-from tidemark.functions.expanding import exact_medians
-
-# Fixed values of the boosted model: 100 rounds, rate 0.05, trees of about 15 leaves with
-# at least 5 rows each, seed 42.
-BOOSTED = {"maxIter": 100, "stepSize": 0.05, "maxDepth": 4, "minInstancesPerNode": 5, "seed": 42}
-
+from tidemark.functions.ranks import exact_medians
+from tidemark.functions.trees import Settings
+from tidemark.session import stage
 
 def supervised_guard(
     train: DataFrame, test: DataFrame, features: Sequence[str], target: str = "target_value", label: str = "Model"
@@ -84,32 +78,16 @@ def fit_predict_ridge(
     return scored.withColumn("prediction", prediction)
 
 
-def fit_boosted(train: DataFrame, features: Sequence[str], target: str = "_y", **params):
-    """Fit boosted trees on rows whose features are imputed; returns medians and model."""
-    medians = exact_medians(train, features)
-    used = [c for c in features if medians[c] is not None]
-    pipeline = Pipeline(
-        stages=[
-            VectorAssembler(inputCols=[f"_f{i}" for i in range(len(used))], outputCol="_features"),
-            GBTRegressor(featuresCol="_features", labelCol=target, predictionCol="prediction", **{**BOOSTED, **params}),
-        ]
-    )
-    return used, medians, pipeline.fit(impute(train, used, medians).select(target, *[f"_f{i}" for i in range(len(used))]))
-
-
-def impute(df: DataFrame, used: Sequence[str], medians: dict) -> DataFrame:
-    return df.withColumns({f"_f{i}": F.coalesce(F.col(c), F.lit(medians[c])) for i, c in enumerate(used)})
-
-
-def score_boosted(fitted, rows: DataFrame) -> DataFrame:
-    used, medians, model = fitted
-    scored = model.transform(impute(rows, used, medians))
-    return scored.drop("_features", *[f"_f{i}" for i in range(len(used))])
-
-
 def fit_predict_boosted(
-    train: DataFrame, test: DataFrame, features: Sequence[str], target: str = "target_value", **params
+    train: DataFrame, test: DataFrame, features: Sequence[str], target: str = "target_value", **settings
 ) -> DataFrame:
-    """``test`` with ``prediction``: median imputation and boosted trees."""
-    rows = supervised_guard(train, test, features, target, "Boosted trees")
-    return score_boosted(fit_boosted(rows, features, **params), _typed_features(test, features))
+    """``test`` with ``prediction``: median imputation and boosted trees.
+
+    ``settings`` are those of ``trees.Settings``.
+    """
+    # Imported here, since the walk-forward models build on this module's checks.
+    from tidemark.operators.boosted import fit_many, predicted
+
+    rows = stage(supervised_guard(train, test, features, target, "Boosted trees").withColumn("_when", F.lit(0).cast("long")))
+    models = fit_many(rows, features, [1], [rows.count()], Settings(**settings))
+    return predicted(_typed_features(test, features), features, models)

@@ -18,6 +18,7 @@ from tidemark.functions import scalars as S
 from tidemark.functions.expanding import expanding_median, exclusive_median
 from tidemark.functions.ordered import TILE, Timeline, measure, timeline, warn_dropped
 from tidemark.schemas import DATASET_COLUMNS, FORECAST_COLUMNS, FORECASTS, NAIVE, feature_columns
+from tidemark.session import stage
 
 ORDER = ("forecast_timestamp", "target_id", "target_reference_date")
 ROW = "_row"
@@ -34,6 +35,10 @@ class Walk:
     def fold(self) -> Column:
         return F.col(ROW) - F.lit(self.min_train_size)
 
+    def staged(self) -> "Walk":
+        """This walk with its numbered rows written once, for several models to read."""
+        return replace(self, line=replace(self.line, frame=stage(self.line.frame)))
+
     def forecasts(self, frame: DataFrame, prediction: Column, model_name: str) -> DataFrame:
         return frame.where(self.fold >= 1).select(
             *DATASET_COLUMNS[:4],
@@ -102,7 +107,11 @@ def walk_forward_naive(
     rows_per_tile: int | None = None,
 ) -> DataFrame:
     """Forecast each row with the previous target value."""
-    walk = open_walk(dataset, min_train_size, by, rows_per_tile=rows_per_tile)
+    return naive_over(open_walk(dataset, min_train_size, by, rows_per_tile=rows_per_tile), model_name)
+
+
+def naive_over(walk: Walk, model_name: str = NAIVE) -> DataFrame:
+    """The last-value forecasts of an opened walk."""
     line = walk.line.look_back(1, lambda w: {"_previous": F.lag("target_value").over(w)})
     return walk.forecasts(line.frame, F.col("_previous"), model_name)
 
@@ -180,9 +189,14 @@ def walk_forward_ridge(
     sums. Features without a training value get weight zero.
     """
     names = feature_columns(dataset, features)
+    return ridge_over(open_walk(dataset, min_train_size, by, names, rows_per_tile), names, alpha, model_name)
+
+
+def ridge_over(walk: Walk, names: Sequence[str], alpha: float = 1.0, model_name: str = "ridge") -> DataFrame:
+    """The ridge forecasts of an opened walk."""
+    min_train_size = walk.min_train_size
     if min_train_size < 2:
         raise ValueError("Ridge requires at least two training rows with targets.")
-    walk = open_walk(dataset, min_train_size, by, names, rows_per_tile)
     line = walk.line
     medians = [f"_m{i}" for i in range(len(names))]
     if line.split:
