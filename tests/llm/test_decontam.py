@@ -97,3 +97,32 @@ def test_empty_tables(spark):
     docs, items = spark.createDataFrame([(1, "a")], "doc_id long, text string"), spark.createDataFrame([(1, "a")], "item_id long, text string")
     assert decontam.contamination(docs.limit(0), items).count() == 0
     assert decontam.contamination(docs, items.limit(0)).first()["hits"] == []
+
+
+def test_a_window_meets_few_items_however_many_there_are():
+    """The table grows with the items, what a window finds in it hardly does."""
+    rng = random.Random(7)
+    vocabulary = [f"w{i}" for i in range(400)]
+    text = " ".join(rng.choices(vocabulary, k=4_000))
+    met = []
+    for items in (100, 3_000):
+        index = decontam.Items([(i, " ".join(rng.choices(vocabulary, k=20))) for i in range(items)], decontam.SHARE, decontam.RECALL)
+        own = index.lengths[0]
+        symbols, sizes = index.symbols([text])
+        # Windows before the bounds on their words, which random words of one vocabulary pass.
+        start = np.arange(3_980)
+        pairs = own.find(decontam.walk_keys(symbols, start, np.full(len(start), 20), own.sampled))
+        met.append(len(pairs) / len(start))
+        assert len(own.keys) == len(own.owner) == items * len(own.sampled)
+        held = sum(a.nbytes for a in (own.keys, own.owner, own.words, own.most))
+        assert held < items * (12 * len(own.sampled) + 100) + 4_000
+    assert met[1] < 1 and met[1] < 4 * met[0] + 0.2, met
+
+
+def test_long_repeated_and_odd_rows(spark):
+    passage = " ".join(f"p{i}" for i in range(20))
+    rows = [(1, "x " * 50_000 + passage + " y" * 50_000), (1, "x " * 50_000 + passage + " y" * 50_000), (None, passage), (2, "!!! ... ,")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(5, passage), (5, passage), (6, passage.upper())], "item_id long, text string")
+    made = [tuple(r) for r in decontam.contamination(docs, items).selectExpr("doc_id", "inline(hits)").collect()]
+    assert sorted(made, key=repr) == sorted([(1, i, 50_000, 20, 0) for i in (5, 6)] * 2 + [(None, i, 0, 20, 0) for i in (5, 6)], key=repr)
