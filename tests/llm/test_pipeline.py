@@ -9,6 +9,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from tidemark.llm import bpe
+from tidemark.session import stage
 
 SF = "/root/testdata/sf0.001"
 
@@ -80,3 +81,16 @@ def test_empty_documents(spark):
     for _, stage in corpus_pipeline.STAGES:
         made = stage(spark, docs, SF)
         assert made.count() == 0
+
+
+def test_columns_of_documents_are_kept_whatever_their_names(spark):
+    """Own columns that bear the names of a stage's working columns come through unchanged."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
+    more = {"score": "0.75", "hits": "array(1)", "found": "'f'", "base": "doc_id", "lang_pred": "'und'", "kept": "false", "digest": "'d'", "_own_text": "'t'"}
+    docs = stage(docs.selectExpr("*", *[f"{v} AS {c}" for c, v in more.items()]))
+    plain = {r["doc_id"]: r for r in docs.collect()}
+    for name, step in corpus_pipeline.STAGES[:-1]:
+        docs = stage(step(spark, docs, SF))
+        assert docs.count() > 0, name
+        for r in docs.collect():
+            assert [r[c] for c in more] == [plain[r["doc_id"]][c] for c in more], name

@@ -64,6 +64,7 @@ def _hashes(words: list[bytes]) -> np.ndarray:
 def word_table(docs: DataFrame, tokenizer: str, text_col="text") -> shards.Mapped:
     """Encodes each distinct word once: sorted hashes, and where its ids start and end."""
     spark = docs.sparkSession
+    shards.small_batches(spark)
     folder, bits = shards.shared_folder(spark, "words"), shards.shard_bits(spark)
     shared = spark.sparkContext.broadcast(tokenizer)
 
@@ -180,6 +181,7 @@ def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
 
     Ids without a piece are left out; NULL ids decode to the empty text.
     """
+    shards.small_batches(encoded.sparkSession)
     vocabulary = Tokenizer.from_str(tokenizer).get_vocab(with_added_tokens=True)
     shared = encoded.sparkSession.sparkContext.broadcast({i: piece for piece, i in vocabulary.items()})
     kept = encoded.select([c for c in encoded.columns if c != "decoded"])

@@ -270,6 +270,7 @@ def contamination(docs: DataFrame, items: DataFrame, share: float = SHARE, recal
     count as one. An existing column ``hits`` is replaced.
     """
     spark = docs.sparkSession
+    shards.small_batches(spark)
     rows = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null")
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = -(-chars // block_chars)

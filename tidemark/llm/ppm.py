@@ -63,7 +63,7 @@ class ContextModel:
     def bits(self, texts: list[bytes]) -> np.ndarray:
         """Code length of each text in each language."""
         out = np.zeros((len(texts), len(self.languages)))
-        for i, j in shards.chunks([len(x) for x in texts], 1 << 19):
+        for i, j in shards.chunks([len(x) for x in texts], 1 << 18):
             data = np.frombuffer(_PAD + _PAD.join(texts[i:j]), np.uint8)
             s = self.symbol[data].astype(np.int64)
             state = self.states[(s[:-3] * self.width + s[1:-2]) * self.width + s[2:-1]]
@@ -134,6 +134,7 @@ def _build(languages: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarr
 
 def train(labelled: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", sample_chars=SAMPLE_CHARS, cells=CELLS):
     """A ``ContextModel`` of rows with text and language; None if there is no such row."""
+    shards.small_batches(labelled.sparkSession)
     rows = labelled.select(
         F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")
     ).where("text is not null and lang is not null")
@@ -173,6 +174,7 @@ def identify(docs: DataFrame, model: ContextModel | None, text_col="text") -> Da
     ``und`` with score 0, and so is every row when there is no model. Columns that already
     have these names are replaced; all other columns pass through.
     """
+    shards.small_batches(docs.sparkSession)
     made = ("lang_pred", "score")
     kept = docs.select([c for c in docs.columns if c not in made])
     if model is None:

@@ -192,6 +192,7 @@ def classes(docs: DataFrame, k: int, percent: int, m: int = REGISTERS, rows: int
     is never kept; a group of such rows only has a NULL component.
     """
     spark = docs.sparkSession
+    shards.small_batches(spark)
     drawn = stage(sketches(docs, k, m, id_col, text_col))
     nodes = stage(
         drawn.where("digest is not null").groupBy("digest").agg(F.min(F.coalesce("doc_id", F.lit(-(2**63)))).alias("rep"), F.first("registers").alias("registers"), F.first("n_shingles").alias("n_shingles"))

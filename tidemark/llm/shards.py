@@ -37,6 +37,16 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
+def small_batches(spark: SparkSession, limit: int = 4 << 20) -> None:
+    """Sends workers at most ``limit`` bytes of rows at once, unless the session set a limit of its own.
+
+    By default a batch has ten thousand rows, however long their texts are.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.sparkContext.getConf().get(name, None) is None:
+        spark.conf.set(name, str(limit))
+
+
 def shard_bits(spark: SparkSession) -> int:
     """Bits of a key that number its shard: about two shards for each shuffle partition."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")).bit_length())
@@ -113,8 +123,8 @@ def reduce_shards(blocks: DataFrame, function, schema: str) -> DataFrame:
     return blocks.groupBy("shard").applyInArrow(run, schema)
 
 
-def hash_words(words: list[bytes], known: dict[bytes, int], most: int = 1 << 18) -> np.ndarray:
-    """A 64-bit hash for each word; ``known`` is the task's cache, emptied when it is full."""
+def hash_words(words: list[bytes], known: dict[bytes, int], most: int = 1 << 17, longest: int = 64) -> np.ndarray:
+    """A 64-bit hash for each word; ``known`` is the task's cache of words that are not long, emptied when it is full."""
     if len(known) > most:
         known.clear()
     digest = xxhash.xxh3_64_intdigest
@@ -123,7 +133,9 @@ def hash_words(words: list[bytes], known: dict[bytes, int], most: int = 1 << 18)
     for i, word in enumerate(words):
         h = get(word)
         if h is None:
-            h = known[word] = digest(word)
+            h = digest(word)
+            if len(word) <= longest:
+                known[word] = h
         out[i] = h
     return out
 
