@@ -12,12 +12,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, decontam, ppm, secrets, setsketch
+from tidemark.session import stage
+
+
+def _beside(docs: DataFrame, made: tuple[str, ...], function) -> DataFrame:
+    """The columns of ``docs`` after ``function``, whose own columns ``made`` may bear names that ``docs`` has."""
+    hidden = {c: f"_own_{c}" for c in docs.columns if c in made}
+    out = function(docs.withColumnsRenamed(hidden))
+    return out.select(*[F.col(hidden.get(c, c)).alias(c) for c in docs.columns])
 
 
 def language(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents in a language that the labels of this table teach; ``und`` goes."""
     model = ppm.train(docs)
-    return ppm.identify(docs, model).where("lang_pred <> 'und'").select(docs.columns)
+    return _beside(docs, ("lang_pred", "score"), lambda rows: ppm.identify(rows, model).where("lang_pred <> 'und'"))
 
 
 def near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,15 +41,17 @@ def near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 def decontamination(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents with a window within a fifth of its words of a benchmark item."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return decontam.contamination(docs, items).where(F.size("hits") == 0).select(docs.columns)
+    return _beside(docs, ("hits",), lambda rows: decontam.contamination(rows, items).where(F.size("hits") == 0))
 
 
 def secret_scan(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace secrets in the texts; ``n_chars`` follows."""
-    clean = secrets.redact(secrets.scan(docs))
-    if "n_chars" in docs.columns:
-        clean = clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return clean.select(docs.columns)
+
+    def clean(rows):
+        made = secrets.redact(secrets.scan(rows))
+        return made.withColumn("n_chars", F.length("text").cast(rows.schema["n_chars"].dataType)) if "n_chars" in rows.columns else made
+
+    return _beside(docs, ("base", "found"), clean)
 
 
 def tokens(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,7 +73,10 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir: str) -> DataFrame:
+    """Every stage is written once, so that none is computed again by those after it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for name, step in STAGES:
+        docs = step(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = stage(docs)
     return docs
