@@ -103,7 +103,7 @@ def word_table(docs: DataFrame, tokenizer: str, text_col="text") -> shards.Mappe
             shards.save(f"{folder}/{name}-{shard}.npy", array)
         return pa.RecordBatch.from_arrays([pa.array([int(once.sum())])], names=["words"])
 
-    sent = docs.select(F.col(text_col).alias("text")).mapInArrow(split, shards.BLOCK)
+    sent = docs.select(F.col(text_col).alias("text")).mapInArrow(shards.trimmed(split), shards.BLOCK)
     shards.reduce_shards(sent, encode, "words long").agg(F.sum("words")).collect()
     return shards.Mapped(folder, bits)
 
@@ -173,7 +173,7 @@ def encode(docs: DataFrame, tokenizer: str, text_col="text") -> DataFrame:
                 out = [ids[a:b].tobytes() for a, b in zip([0, *ends[:-1]], ends, strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, pa.array(out, pa.binary())], names=[*batch.schema.names, "ids"])
 
-    return kept.mapInArrow(fill, T.StructType([*kept.schema.fields, T.StructField("ids", T.BinaryType())]))
+    return kept.mapInArrow(shards.trimmed(fill), T.StructType([*kept.schema.fields, T.StructField("ids", T.BinaryType())]))
 
 
 def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
@@ -195,7 +195,7 @@ def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
                 texts = [" ".join(pieces[k] for k in np.frombuffer(x or b"", "<u4").tolist() if k in pieces) for x in column[i:j].to_pylist()]
                 yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
 
-    return kept.mapInArrow(join, T.StructType([*kept.schema.fields, T.StructField("decoded", T.StringType())]))
+    return kept.mapInArrow(shards.trimmed(join), T.StructType([*kept.schema.fields, T.StructField("decoded", T.StringType())]))
 
 
 def public_path(name: str = "word_bpe_49k.json") -> str:

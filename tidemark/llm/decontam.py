@@ -290,7 +290,7 @@ def contamination(docs: DataFrame, items: DataFrame, share: float = SHARE, recal
                     hits = [b + [dict(zip(("item_id", "start_word", "n_words", "edits"), h, strict=True)) for h in f] for b, f in zip(before, found, strict=True)]
                     yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns[:-1], pa.array(hits, _HITS)], names=batch.schema.names)
 
-        out = out.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField("hits", out.schema["hits"].dataType)]))
+        out = out.mapInArrow(shards.trimmed(run), T.StructType([*kept.schema.fields, T.StructField("hits", out.schema["hits"].dataType)]))
     return out
 
 

@@ -157,7 +157,7 @@ def train(labelled: DataFrame, id_col="doc_id", text_col="text", lang_col="lang"
                     grams, n = np.unique((data[:-3] << 24) | (data[1:-2] << 16) | (data[2:-1] << 8) | data[3:], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), x, np.int32)), pa.array(grams), pa.array(n)], schema=_GRAMS)
 
-    counts = sample.mapInArrow(count, "lang int, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+    counts = sample.mapInArrow(shards.trimmed(count), "lang int, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     if not counts.num_rows:
         return None
     lang, gram, n = (counts.column(c).to_numpy() for c in ("lang", "gram", "n"))
@@ -196,7 +196,7 @@ def identify(docs: DataFrame, model: ContextModel | None, text_col="text") -> Da
             more = [pa.array(names, pa.string()), pa.array(np.where(letters, score, 0.0))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, *made])
 
-    return kept.mapInArrow(predict, schema)
+    return kept.mapInArrow(shards.trimmed(predict), schema)
 
 
 def query(spark, sf_dir):

@@ -114,7 +114,7 @@ def sketches(docs: DataFrame, k: int, m: int = REGISTERS, id_col="doc_id", text_
                 )
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, digest binary, registers binary")
+    return rows.mapInArrow(shards.trimmed(run), "doc_id long, n_shingles long, digest binary, registers binary")
 
 
 def _bands(nodes: DataFrame, m: int, rows: int) -> DataFrame:
@@ -127,7 +127,7 @@ def _bands(nodes: DataFrame, m: int, rows: int) -> DataFrame:
                     key = shards.mix(key * np.uint64(0x9E3779B97F4A7C15) ^ column)
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(0)], names=["band", "node"])
 
-    return nodes.select("digest", "registers").mapInArrow(run, "band long, node binary")
+    return nodes.select("digest", "registers").mapInArrow(shards.trimmed(run), "band long, node binary")
 
 
 def _stars(nodes: DataFrame, m: int, rows: int, least: float) -> DataFrame:
@@ -145,7 +145,7 @@ def _stars(nodes: DataFrame, m: int, rows: int, least: float) -> DataFrame:
             keep = pa.array(similar_enough(a, b, na, nb, least), pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(keep)
 
-    return pairs.mapInArrow(run, "a binary, b binary")
+    return pairs.mapInArrow(shards.trimmed(run), "a binary, b binary")
 
 
 def confirmed_forest(sets: list[np.ndarray], percent: int, split: int | None = None) -> list[tuple[int, int]]:
@@ -213,7 +213,7 @@ def classes(docs: DataFrame, k: int, percent: int, m: int = REGISTERS, rows: int
         shards.save(f"{folder}/keys-{shard}.npy", np.unique(shards.unpack(packed, "u8")[0]))
         return pa.RecordBatch.from_arrays([pa.array([1])], names=["n"])
 
-    shards.reduce_shards(family.select("rep").mapInArrow(send, shards.BLOCK), write, "n long").agg(F.sum("n")).collect()
+    shards.reduce_shards(family.select("rep").mapInArrow(shards.trimmed(send), shards.BLOCK), write, "n long").agg(F.sum("n")).collect()
     wanted = shards.Mapped(folder, bits)
 
     def members(batches):
@@ -229,7 +229,7 @@ def classes(docs: DataFrame, k: int, percent: int, m: int = REGISTERS, rows: int
                 found = {xxhash.xxh3_128_digest(s.tobytes()): s.tobytes() for s in shingle_sets(texts[i:j], k, known) if len(s)}
                 yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.binary())], names=["digest", "shingles"])
 
-    sets = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(members, "digest binary, shingles binary")
+    sets = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(shards.trimmed(members), "digest binary, shingles binary")
     # Member x of a family of p parts goes to every two parts with its own: p tasks.
     part = F.pmod(F.xxhash64("node"), F.col("parts").cast("long")).cast("int")
     seats = family.withColumn("part", part).select(

@@ -10,6 +10,7 @@ pages that they search. That needs a folder which is mounted at the same path ev
 
 from __future__ import annotations
 
+import ctypes
 import os
 import uuid
 
@@ -47,6 +48,24 @@ def small_batches(spark: SparkSession, limit: int = 4 << 20) -> None:
         spark.conf.set(name, str(limit))
 
 
+def trimmed(function):
+    """``function`` over batches, after which the worker hands unused memory back.
+
+    Workers live on between tasks, and what one task took at its height would stay with them.
+    """
+
+    def run(batches):
+        try:
+            yield from function(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return run
+
+
 def shard_bits(spark: SparkSession) -> int:
     """Bits of a key that number its shard: about two shards for each shuffle partition."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")).bit_length())
