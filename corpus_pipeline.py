@@ -57,7 +57,8 @@ def secret_scan(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document (little-endian unsigned 32-bit) and the text they decode to."""
     tokenizer = bpe.read_tokenizer(bpe.public_path())
-    both = bpe.decode(bpe.encode(docs, tokenizer).drop("text"), tokenizer)
+    # Written in between, so that a task has one worker at a time and not two.
+    both = bpe.decode(stage(bpe.encode(docs, tokenizer).drop("text")), tokenizer)
     return both.withColumn("n_tokens", (F.octet_length("ids") / 4).cast("long"))
 
 
