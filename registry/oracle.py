@@ -559,6 +559,40 @@ ORACLE: dict[str, str] = {
         "batch",
         "stored",
     ),
+    "read_release_calendar": _with("SELECT * FROM cal", "cal"),
+    "read_dataset": _with(f'SELECT {BASE5}, "feature_A_F_latest" FROM asof_matrix', "asof_matrix"),
+    "read_forecasts": _with("SELECT * REPLACE (round(prediction, 6) AS prediction) FROM fc", "fc"),
+    "read_metrics": _with(
+        """SELECT model_name, n_forecasts, round(rmse, 6) AS rmse, round(mae, 6) AS mae,
+                  round(directional_accuracy, 6) AS directional_accuracy, beats_naive_rmse, beats_naive_mae,
+                  round(rmse_vs_naive, 6) AS rmse_vs_naive, round(mae_vs_naive, 6) AS mae_vs_naive FROM metrics""",
+        "metrics",
+    ),
+    "stable_output_order": _with(
+        """SELECT model_name, forecast_timestamp, target_id,
+                  row_number() OVER (ORDER BY model_name, forecast_timestamp, target_id) AS place FROM fc""",
+        "fc",
+    ),
+    "preview": _with(
+        f"""SELECT {BASE5}, "feature_A_F_latest", (SELECT count(*) FROM asof_matrix) AS total_rows FROM asof_matrix
+            ORDER BY {KEYS3} LIMIT 10""",
+        "asof_matrix",
+    ),
+    "insert_observations": _with(f"SELECT {OBS6} FROM stored", "stored"),
+    "run_ingestion": _with(
+        """SELECT CAST(1 AS BIGINT) AS id, 'fred' AS source, 'ALL' AS series_id, 'succeeded' AS status, count(*) AS rows_seen,
+                  count(*) AS inserted, CAST(0 AS BIGINT) AS updated, CAST(0 AS BIGINT) AS skipped,
+                  '{"from": "1990", "mode": "current"}' AS parameters_json
+           FROM stored WHERE source = 'fred' AND release_date IS NOT NULL""",
+        "stored",
+    ),
+    "comparison_report": _with(
+        """SELECT m.model_name, round(m.rmse, 6) AS rmse, round(m.mae, 6) AS mae, count(*) AS forecast_count,
+                  round(avg(f.prediction), 6) AS prediction_mean, round(stddev_samp(f.prediction), 6) AS prediction_std
+           FROM metrics m JOIN fc f ON f.model_name = m.model_name GROUP BY m.model_name, m.rmse, m.mae""",
+        "metrics",
+        "fc",
+    ),
     "run_states": """
         SELECT event_id AS id, event_type AS source, 'user_' || user_id AS series_id,
                CASE WHEN event_type = 'error' THEN 'failed' ELSE 'succeeded' END AS status, ts AS started_at,

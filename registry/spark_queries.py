@@ -1,5 +1,6 @@
 """One query per operator: (spark, sf_dir) -> DataFrame over the driver's whole tables."""
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,8 +12,8 @@ from tidemark.functions import scalars as S
 from tidemark.operators import asof, comparison, diagnostics, metrics, summaries, supervised, targets, transforms
 from tidemark.operators import walkforward as W
 from tidemark.schemas import DATASET_COLUMNS, NAIVE, OBSERVATION_COLUMNS, VINTAGE_KEY
-from tidemark.session import stage
-from tidemark.sources import calendar, catalog, payloads, store
+from tidemark.session import stage, staging_root
+from tidemark.sources import calendar, catalog, payloads, store, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -750,3 +751,88 @@ def list_runs(spark, sf_dir):
 @query
 def get_run(spark, sf_dir):
     return store.get_run(_runs(spark, sf_dir), 77).select("id", "source", "series_id", "status", "started_at", "rows_seen")
+
+
+# Tables that are written and read again, in folders of their own below the staging folder.
+
+
+def _folder(spark, name):
+    return f"{staging_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query
+def read_release_calendar(spark, sf_dir):
+    path = tables.write_table(A.calendar(spark, sf_dir), _folder(spark, "calendar"), "csv", ["reference_period"])
+    return calendar.read_release_calendar(spark, path)
+
+
+@query
+def read_dataset(spark, sf_dir):
+    """A dataset as CSV text, typed by the operator that reads it."""
+    path = tables.write_table(one_feature(spark, sf_dir), _folder(spark, "dataset"), "csv", DATASET_COLUMNS[:3])
+    return W.prepare_dataset(tables.read_dataset(spark, path, "csv"), [FEATURE])
+
+
+@query
+def read_forecasts(spark, sf_dir):
+    """Both models' forecasts beside their metrics, read back as typed columns."""
+    both = naive_and_ridge(spark, sf_dir)
+    scored = metrics.metrics_table(both, by_model(both, NAIVE), [NAIVE, "ridge"])
+    paths = tables.write_comparison(both, scored, _folder(spark, "comparison"), format="csv")
+    return rounded(tables.read_forecasts(spark, paths["forecasts"], "csv"), "prediction")
+
+
+@query
+def read_metrics(spark, sf_dir):
+    both = naive_and_ridge(spark, sf_dir)
+    scored = metrics.metrics_table(both, by_model(both, NAIVE), [NAIVE, "ridge"])
+    paths = tables.write_comparison(both, scored, _folder(spark, "comparison"), format="csv")
+    made = tables.read_metrics(spark, paths["metrics"], "csv")
+    return rounded(made, "rmse", "mae", "directional_accuracy", "rmse_vs_naive", "mae_vs_naive")
+
+
+@query
+def stable_output_order(spark, sf_dir):
+    """Each row of a table written in order, with its place among the rows of its files."""
+    order = ["model_name", "forecast_timestamp", "target_id"]
+    path = tables.write_table(naive_and_ridge(spark, sf_dir), _folder(spark, "ordered"), "parquet", order)
+    rows = spark.read.parquet(path).select(*order, F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at"))
+    # Files are numbered in the order of the table; a place counts the rows of earlier files.
+    sizes = rows.groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
+    ranked = sizes.alias("a").join(sizes.alias("b"), F.col("b.file") < F.col("a.file"), "left")
+    before = ranked.groupBy("a.file", "a.first").agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("before"))
+    return rows.join(before, "file").select(*order, (F.col("at") - F.col("first") + F.col("before") + 1).alias("place"))
+
+
+@query
+def preview(spark, sf_dir):
+    """The first rows of the ordered dataset and how many there are."""
+    first, total = tables.preview(one_feature(spark, sf_dir).orderBy(*DATASET_COLUMNS[:3]), 10)
+    return first.withColumn("total_rows", F.lit(total).cast("long"))
+
+
+@query
+def insert_observations(spark, sf_dir):
+    target = store.ObservationStore(spark, _folder(spark, "store"))
+    target.insert(_stored(spark, sf_dir).select(*OBSERVATION_COLUMNS))
+    return target.read()
+
+
+@query
+def run_ingestion(spark, sf_dir):
+    """One audited run over released observations: its counts and its parameters as sorted JSON."""
+    target = store.ObservationStore(spark, _folder(spark, "store"))
+    rows = _stored(spark, sf_dir).where("source = 'fred' and release_date is not null").select(*OBSERVATION_COLUMNS)
+    done = target.run_ingestion("fred", "ALL", lambda: rows, payloads.validate_fred, {"mode": "current", "from": "1990"})
+    run = target.runs().where(F.col("id") == done["run_id"])
+    return run.select("id", "source", "series_id", "status", *[F.col(c).cast("long").alias(c) for c in store.COUNTS], "parameters_json")
+
+
+@query
+def comparison_report(spark, sf_dir):
+    """The report's tables that have a row per model, side by side."""
+    both = naive_and_ridge(spark, sf_dir)
+    scored = metrics.metrics_table(both, by_model(both, NAIVE), [NAIVE, "ridge"])
+    made = summaries.comparison_report(scored, both)
+    wide = made["metrics"].select("model_name", "rmse", "mae").join(made["forecast_counts"], "model_name")
+    return rounded(wide.join(made["prediction_stats"], "model_name"), "rmse", "mae", "prediction_mean", "prediction_std")

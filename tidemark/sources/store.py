@@ -172,15 +172,18 @@ class ObservationStore:
 
     def read(self, source: str | None = None, series_id=None, ordered: bool = False) -> DataFrame:
         """Observations; ``source`` and ``series_id`` prune partitions and reach the files."""
-        rows = filter_series(self.stored(), series_id, source)
-        if series_id is not None:
-            wanted = [series_id] if isinstance(series_id, str) else series_id
-            rows = rows.where(F.col("series_bucket").isin([self._bucket(F.lit(s)) for s in wanted]))
-        rows = rows.select(*OBSERVATION_COLUMNS)
+        rows = filter_series(self._pruned(series_id), series_id, source).select(*OBSERVATION_COLUMNS)
         return rows.orderBy("source", "series_id", "date", "release_date") if ordered else rows
 
+    def _pruned(self, series_id) -> DataFrame:
+        """Stored rows of the buckets that these series fall into; of all buckets without series."""
+        if series_id is None:
+            return self.stored()
+        wanted = [series_id] if isinstance(series_id, str) else series_id
+        return self.stored().where(F.col("series_bucket").isin([self._bucket(F.lit(s)) for s in wanted]))
+
     def coverage(self, source: str | None = None, series_id: str | None = None) -> DataFrame:
-        return coverage(self.stored(), source, series_id)
+        return coverage(self._pruned(series_id), source, series_id)
 
     def insert(self, observations: DataFrame) -> int:
         """Append; a key that repeats, in the batch or in the table, rejects all of it."""
