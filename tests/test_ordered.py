@@ -4,7 +4,7 @@ import pytest
 from helpers import rows
 from pyspark.sql import functions as F
 
-from tidemark.functions import ranks
+from tidemark.functions import ordered, ranks
 from tidemark.functions.ordered import measure, timeline
 from tidemark.functions.ranks import exact_medians, exact_ranks
 from tidemark.operators.transforms import difference, percent_change, rolling_z_score
@@ -88,6 +88,48 @@ def test_transforms_on_tiles(hot, by):
         assert clean(make(rows_per_tile=50)) == clean(make(bounded=True))
 
 
+def test_reach_of_many_tiles(spark):
+    """A window over far more rows than a tile has, and one over half the timeline."""
+    n, reach = 200_000, 100_000
+    frame = spark.range(n).select(F.lit("k").alias("k"), F.col("id").alias("t"), (F.col("id") % 977).cast("double").alias("v"))
+    line = timeline(frame, ["k"], ["t"], rows_per_tile=n // 50)
+    back = line.look_back(reach, lambda w: {"far": F.lag("t", reach).over(w), "near": F.lag("t").over(w)}).rows()
+    assert line.split and back.columns == ["k", "t", "v", "far", "near"]
+    wrong = (~F.col("far").eqNullSafe(F.when(F.col("t") >= reach, F.col("t") - reach))) | (
+        ~F.col("near").eqNullSafe(F.when(F.col("t") >= 1, F.col("t") - 1))
+    )
+    assert back.agg(F.count(F.lit(1)), F.count_if(wrong)).first() == (n, 0)
+    short = frame.where("t < 6000")
+    last = lambda **s: rows(rolling_z_score(short, "v", ["k"], ["t"], 1500, out="z", **s).select("t", F.round("z", 9)), "t")
+    assert last(rows_per_tile=120) == last(bounded=True)
+
+
+def test_no_cell_holds_other_rows(hot):
+    line = timeline(hot, ["k"], ["t"], rows_per_tile=50)
+    plan = line.look_back(300, lambda w: {"x": F.lag("v", 300).over(w)}).frame._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan
+
+
+def test_ties_come_out_alike_however_rows_lie(spark):
+    rng = random.Random(5)
+    data = [(rng.choice("ab"), i % 7, float(rng.randrange(4)), rng.choice([None, "x", "y"])) for i in range(400)]
+    found = []
+    for seed, size in [(1, 10**6), (2, 10**6), (3, 30), (4, 30)]:
+        random.Random(seed).shuffle(data)
+        frame = spark.createDataFrame(data, "k string, t int, v double, s string").repartition(3 + seed)
+        line = timeline(frame, ["k"], ["t"], rows_per_tile=size)
+        made = line.look_back(2, lambda w: {"l": F.lag("v", 2).over(w)}).number("n").carry_forward("c", F.col("s")).rows()
+        found.append(rows(made, "k", "n"))
+    assert found[0] == found[1] == found[2] == found[3]
+
+
+def test_wide_rows_make_smaller_tiles(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "CELLS_PER_TILE", 1000)
+    wide = spark.range(60).select("id", *[F.lit(1.0).alias(f"c{i}") for i in range(49)])
+    line = timeline(wide, [], ["id"])
+    assert line.split and line.rows_per_tile == 20
+
+
 def test_exact_ranks_of_many_columns(spark, monkeypatch):
     rng = random.Random(3)
     data = [(rng.gauss(0, 1), float(rng.randrange(3)), None, 5.0, rng.choice([-0.0, 0.0, float("inf"), -1e300, 1e-310]) if i % 2 else None) for i in range(4001)]

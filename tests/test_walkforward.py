@@ -6,6 +6,8 @@ import pytest
 from helpers import breaks, rows
 from pyspark.sql import functions as F
 
+from tidemark.functions.expanding import exclusive_median, expanding_median
+from tidemark.functions.ordered import timeline
 from tidemark.operators import walkforward as W
 from tidemark.operators.comparison import compare_models, walk_forward
 from tidemark.operators.supervised import fit_predict_boosted, fit_predict_ridge, supervised_guard
@@ -143,6 +145,35 @@ def test_moments_and_naive_on_tiles(noisy):
         assert rows(naive[0], *keys) == rows(naive[1], *keys)
 
 
+def test_medians_on_two_hundred_tiles(spark):
+    """Trends, few distinct values, gaps, infinities and a column of one value, on tiles of 10 rows."""
+    rng = np.random.default_rng(4)
+    n = 2000
+    pdf = pd.DataFrame(
+        {
+            "g": np.where(np.arange(n) % 4 == 0, "b", "a"),
+            "t": np.arange(n),
+            "trend": np.arange(n) + rng.normal(0, 30, n),
+            "few": rng.integers(0, 3, n).astype(float),
+            "gaps": np.where(rng.random(n) < 0.7, np.nan, rng.normal(0, 1, n)),
+            "late": np.where(np.arange(n) < 1500, np.nan, 7.0),
+            "none": np.full(n, np.nan),
+        }
+    )
+    names = list(pdf.columns[2:])
+    cells = [F.when(~F.isnan(c), F.col(c)).alias(c) for c in names]
+    frame = spark.createDataFrame(pdf.sample(frac=1, random_state=1)).select("g", "t", *cells)
+    for by in ([], ["g"]):
+        line = timeline(frame, by, ["t"], rows_per_tile=10).number("row")
+        assert line.split and line.frame.select("_tile").distinct().count() > 150
+        made = expanding_median(line, {c: f"m_{c}" for c in names}, "row").frame.toPandas().sort_values("t")
+        groups = pdf.groupby("g") if by else [("", pdf)]
+        for _, part in groups:
+            mine = made[made["t"].isin(part["t"])]
+            for c in names:
+                assert np.array_equal(exclusive_median(part[c].to_numpy()), mine[f"m_{c}"].to_numpy(float), equal_nan=True), c
+
+
 def test_later_rows_do_not_change_earlier_forecasts(noisy):
     _, frame = noisy
     cut = datetime(2000, 6, 1)

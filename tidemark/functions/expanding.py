@@ -49,42 +49,19 @@ def _split_median(line: Timeline, outputs: dict[str, str], row: str) -> Timeline
     # Cut the values of each column into value tiles; equal values are cut by time tile.
     parts = max(1, -(-known.count() // line.rows_per_tile))
     valued = stage(
-        known.select(*keys, "_f", "_v")
+        known.select(*keys, row, "_f", "_v")
         .repartitionByRange(parts, *by, "_f", "_v", TILE)
         .withColumn("_vt", F.spark_partition_id())
     )
-    # Counts per (time tile, value tile) tell which value tiles hold the central values of
-    # the rows before each time tile. Time tiles without a value count too.
+    # A central value tile serves many time tiles, so its rows are dealt out by row number:
+    # no task has to produce all its copies.
     grouped = [*by, "_f"]
-    counts = valued.groupBy(*grouped, "_vt", TILE).agg(F.count(F.lit(1)).alias("n"))
-    tiles = line.frame.select(*keys).distinct().select(
-        *by,
-        F.explode(F.sequence(F.lit(0), F.lit(len(outputs) - 1))).alias("_f"),
-        F.lit(-1).alias("_vt"),
-        TILE,
-        F.lit(0).cast("long").alias("n"),
-    )
-    wanted_schema = T.StructType(
-        [
-            *_fields(tiles, grouped),
-            T.StructField("_vt", T.IntegerType()),
-            T.StructField("_to", T.IntegerType()),
-            T.StructField("below", T.LongType()),
-            T.StructField("total", T.LongType()),
-        ]
-    )
-    tables = counts.select(*tiles.columns).unionByName(tiles)
-    wanted = stage(
-        tables.groupBy(*grouped).applyInPandas(lambda pdf: _central_tiles(pdf, grouped), wanted_schema)
+    wanted = stage(_central_tiles(line, valued, len(outputs), grouped)).withColumn(
+        "_deal", F.explode(F.sequence(F.lit(0), F.lit(DEALS - 1)).cast("array<long>"))
     )
-
-    # A central value tile serves many time tiles. Its rows are spread evenly first, so
-    # that no task has to produce all its copies.
-    central_rows = null_safe_join(
-        valued, wanted.select(*grouped, "_vt").distinct(), [*grouped, "_vt"], "left_semi"
-    ).repartition(parts)
+    dealt = valued.withColumn("_deal", F.pmod(F.col(row), F.lit(DEALS)))
     central = (
-        null_safe_join(central_rows, _broadcast_if_small(wanted), [*grouped, "_vt"], "inner")
+        null_safe_join(dealt, wanted, [*grouped, "_vt", "_deal"], "inner")
         .where(F.col(TILE) < F.col("_to"))
         .select(*grouped, F.col("_to").alias(TILE), "_v", "below", "total")
     )
@@ -102,29 +79,48 @@ def _split_median(line: Timeline, outputs: dict[str, str], row: str) -> Timeline
     return replace(line, frame=null_safe_join(line.frame, wide, [*keys, row], "left"))
 
 
-BROADCAST_ROWS = 500_000
-
+DEALS = 16
 
-def _broadcast_if_small(df: DataFrame) -> DataFrame:
-    """``df`` is staged, so that counting it reads file footers only."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
+def _central_tiles(line: Timeline, valued: DataFrame, columns: int, grouped: Sequence[str]) -> DataFrame:
+    """Value tiles with the possible medians of each time tile's earlier rows, from counts.
 
-def _central_tiles(pdf: pd.DataFrame, grouped: Sequence[str]) -> pd.DataFrame:
-    """Value tiles with the possible medians of each time tile's earlier rows, from counts."""
-    table = pdf.pivot_table(index=TILE, columns="_vt", values="n", aggfunc="sum", fill_value=0)
-    table = table.drop(columns=-1).sort_index().sort_index(axis=1)
-    own = table.to_numpy()
-    before = np.cumsum(own, axis=0) - own
-    total, added = before.sum(axis=1), own.sum(axis=1)
-    upto = np.cumsum(before, axis=1)
-    low = np.maximum((total - 1) // 2 - added - 1, 0)
-    high = np.minimum((total + added) // 2 + 1, total - 1)
-    chosen = (upto > low[:, None]) & (upto - before <= high[:, None]) & (before > 0)
-    below = np.where(chosen, upto - before, np.iinfo(np.int64).max).min(axis=1, initial=np.iinfo(np.int64).max)
-    t, v = np.nonzero(chosen)
-    out = pd.DataFrame({name: [pdf[name].iloc[0]] * len(t) for name in grouped})
-    return out.assign(_vt=table.columns.to_numpy()[v], _to=table.index.to_numpy()[t], below=below[t], total=total[t])
+    A table of counts per (value tile, time tile) is summed twice by windows: along time per
+    value tile, which tells how many earlier values a value tile has, then along the values
+    per time tile, which gives the ranks these hold. A window sees one row per tile, and the
+    cells are fewer than the rows up to ``rows_per_tile`` squared rows in a timeline.
+    """
+    by = list(line.by)
+    counts = valued.groupBy(*grouped, "_vt", TILE).agg(F.count(F.lit(1)).alias("n"))
+    # Time tiles that have none of a value tile's values need its earlier count as well.
+    span = line.frame.groupBy(*by).agg(F.min(TILE).alias("_first"), F.max(TILE).alias("_last"))
+    tiles = valued.select(*grouped, "_vt").distinct()
+    if by:
+        spans = null_safe_join(tiles, span, by, "inner")
+    else:
+        spans = tiles.withColumns(dict(zip(span.columns, map(F.lit, span.first()), strict=True)))
+    empty = spans.select(*grouped, "_vt", F.explode(F.sequence("_first", "_last")).alias(TILE), F.lit(0).cast("long").alias("n"))
+    cells = counts.unionByName(empty).groupBy(*grouped, "_vt", TILE).agg(F.sum("n").alias("own"))
+
+    along_time = Window.partitionBy(*grouped, "_vt").orderBy(TILE).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*grouped, TILE)
+    along_values = whole.orderBy("_vt").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = cells.withColumn("before", F.coalesce(F.sum("own").over(along_time), F.lit(0)))
+    ranked = before.withColumns(
+        {
+            "upto": F.sum("before").over(along_values),
+            "total": F.sum("before").over(whole),
+            "added": F.sum("own").over(whole),
+        }
+    )
+    # The ranks that can be the median at any row of the time tile, its own rows included.
+    low = F.greatest(F.floor((F.col("total") - 1) / 2) - F.col("added") - 1, F.lit(0))
+    high = F.least(F.floor((F.col("total") + F.col("added")) / 2) + 1, F.col("total") - 1)
+    start = F.col("upto") - F.col("before")
+    chosen = ranked.where((F.col("upto") > low) & (start <= high) & (F.col("before") > 0))
+    return chosen.select(
+        *grouped, "_vt", F.col(TILE).alias("_to"), F.min(start).over(whole).alias("below"), "total"
+    )
 
 
 def _tile_medians(rows: pd.DataFrame, prefix: pd.DataFrame, columns: Sequence[str], row: str) -> pd.DataFrame:

@@ -4,7 +4,8 @@ A plain window sends each group to one task. ``timeline`` measures the largest g
 first. Groups that fit get the plain window and nothing else. Otherwise the rows are
 range-partitioned by group and order, so that a large group is cut into consecutive
 tiles; windows then run per (group, tile) and a small table of tile summaries carries
-state across the cuts. Results are the same either way.
+state across the cuts. Rows that tie in their order are put in order by a hash of all their
+columns, however they are cut, so results are the same either way.
 """
 
 import math
@@ -14,13 +15,16 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.session import stage
 
 TILE = "_tile"
 TIE = "_tie"
-HALO = "_halo"
+COPY = "_copy"
 ROWS_PER_TILE = 1_000_000
+#: Wide rows make smaller tiles: a tile has at most so many cells.
+CELLS_PER_TILE = 16_000_000
 
 
 @dataclass(frozen=True)
@@ -81,38 +85,23 @@ class Timeline:
         return Window.partitionBy(*self.by).orderBy(TILE)
 
     def rows(self) -> DataFrame:
-        return self.frame.drop(TILE, TIE)
+        return self.frame.drop(TILE, TIE, COPY)
 
     def look_back(self, rows: int, make: Callable) -> "Timeline":
         """Add ``make(window)`` columns that read at most ``rows`` rows back."""
         if not self.split:
             return replace(self, frame=self.frame.withColumns(make(self.window)))
-        own = self.frame.withColumn(HALO, F.lit(False))
-        both = own.unionByName(self._halo(rows).withColumn(HALO, F.lit(True)))
-        return replace(self, frame=both.withColumns(make(self.window)).where(~F.col(HALO)).drop(HALO))
-
-    def _halo(self, rows: int) -> DataFrame:
-        """The last ``rows`` rows before each tile, labelled with that tile."""
-        everyone = Window.partitionBy(*self.keys)
-        columns = self.frame.columns
-        tails = (
-            self.frame.withColumn("_rn", F.row_number().over(self.window))
-            .withColumn("_n", F.count(F.lit(1)).over(everyone))
-            .where(F.col("_rn") > F.col("_n") - rows)
-            .groupBy(*self.keys)
-            .agg(F.sort_array(F.collect_list(F.struct("_rn", F.struct(*columns).alias("row")))).alias("tail"))
-        )
-        # Every tile holds a row, so the last `rows` tiles hold enough of them.
-        before = self._earlier_tiles.rowsBetween(-rows, -1)
-        carried = tails.withColumn("carried", F.flatten(F.collect_list("tail").over(before)))
-        start = F.greatest(F.size("carried") - rows + 1, F.lit(1))
-        return (
-            carried.where(F.size("carried") > 0)
-            .select(F.col(TILE).alias("_to"), F.explode(F.slice("carried", start, rows)).alias("c"))
-            .select("_to", "c.row.*")
-            .withColumn(TILE, F.col("_to"))
-            .select(*columns)
-        )
+        # Blocks of row numbers, no smaller than the reach: a row belongs to its own block and,
+        # if it is among the last rows of that, to the next one. Nothing but numbers decides
+        # this, so no cell holds other rows and no row is in more than two blocks.
+        size = max(self.rows_per_tile, rows)
+        numbered = self.number("_at")
+        block = lambda at: F.floor(at / F.lit(size)).cast("long")
+        own = block(F.col("_at") - 1)
+        reached = numbered.frame.withColumn("_block", F.explode(F.sequence(own, block(F.col("_at") - 1 + rows))))
+        window = Window.partitionBy(*self.by, "_block").orderBy("_at")
+        frame = reached.withColumns(make(window)).where(F.col("_block") == own).drop("_at", "_block")
+        return replace(self, frame=frame)
 
     def running(self, sums: dict[str, Column]) -> "Timeline":
         """Add the sums of all earlier rows of the group (0 for its first row)."""
@@ -187,15 +176,17 @@ def timeline(
     ``bounded=True`` says that the keys themselves bound every group, for instance
     one row per calendar day; then nothing is measured.
     """
-    rows_per_tile = rows_per_tile or ROWS_PER_TILE
+    rows_per_tile = rows_per_tile or min(ROWS_PER_TILE, CELLS_PER_TILE // max(1, len(df.columns)))
     by, order = tuple(by), tuple(order)
     if not bounded:
         sizes = sizes or measure(df, by)
+        df = df.withColumn(TIE, F.xxhash64(*[f.name for f in df.schema if not isinstance(f.dataType, T.MapType)]))
+        order = (*order, TIE)
         if sizes.largest_group > rows_per_tile:
-            # Row ids split rows that are equal in order, even full copies. Ids and tiles are
-            # staged, so that they stay what they are when a task is rerun.
-            numbered = stage(df.withColumn(TIE, F.monotonically_increasing_id()))
-            order = (*order, TIE)
+            # Row ids part full copies. Ids and tiles are staged, so that they stay what they
+            # are when a task is rerun.
+            numbered = stage(df.withColumn(COPY, F.monotonically_increasing_id()))
+            order = (*order, COPY)
             tiles = math.ceil(sizes.rows / rows_per_tile)
             ranged = numbered.repartitionByRange(tiles, *last_nulls([*by, *order]))
             return Timeline(stage(ranged.withColumn(TILE, F.spark_partition_id())), by, order, True, rows_per_tile)
