@@ -45,6 +45,22 @@ def test_round_trip(spark):
     assert made == sorted(expected, key=repr)
 
 
+def test_urls_of_any_length_and_content_come_back(spark):
+    urls = ["http://long/" + "a" * 100_000, "http://magic/" + "WARC/1.0\r\n" * 20_000, "http://a b%20c/\x00\x7f\u2028é\"", "", " ", None, "http://plain/%2520"]
+    frame = spark.createDataFrame([(i, u, f"page {i % 3}") for i, u in enumerate(urls)], "page_id long, url string, html string")
+    files = warc.write_archives(frame)
+    made = {r["page_id"]: r["url"] for r in warc.read_archives(files).collect()}
+    assert made == dict(enumerate(urls))
+    assert warc.boundaries(files, 4096).selectExpr("sum(length(offsets) div 8) as n").first().n == len(urls)
+
+
+def test_many_magics_without_an_empty_line_are_searched_once():
+    payload = b"WARC/1.0\r\nContent-Length: 1\r\n" * 100_000
+    data = warc.record(1, "u", payload, warc.base32_sha1(payload), None, "1970-01-01T00:00:00Z")
+    offsets, after = warc.candidates(data, 0, len(data))
+    assert len(offsets) == 100_001 and after[0] == len(data) and set(after[1:]) == {-1}
+
+
 def test_small_ranges_find_the_same_records(spark):
     files = warc.write_archives(pages(spark))
     for size in (17, 1000):

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
 import mmap
 import re
 import uuid
@@ -31,8 +32,6 @@ from tidemark.session import stage
 MAGIC = b"WARC/1.0\r\n"
 FILE_BYTES = 64 << 20
 RANGE_BYTES = 4 << 20
-#: A record header that does not end within so many bytes is no header.
-HEADER_BYTES = 1 << 16
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 _LENGTH = re.compile(rb"(?i)\r\nContent-Length:[ \t]*(\d{1,15})[ \t]*(?=\r\n)")
 _CONTROL = re.compile(r"[\x00-\x20\x7f]")
@@ -93,7 +92,11 @@ def _first(table: shards.Mapped, digests: list[bytes]) -> list[int | None]:
 
 
 def record(page_id, url, payload: bytes, digest: str, refers_to, date: str) -> bytes:
-    """One record: a response with its payload, or a revisit without."""
+    """One record: a response with its payload, or a revisit without.
+
+    A URL with blanks or control characters is escaped, and kept as given in a field of its own.
+    """
+    escaped = url and _CONTROL.sub(lambda m: f"%{ord(m[0]):02X}", url)
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if refers_to is not None else http + payload
     head = [
@@ -101,7 +104,8 @@ def record(page_id, url, payload: bytes, digest: str, refers_to, date: str) -> b
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
         f"WARC-Record-ID: <urn:x-page:{'' if page_id is None else page_id}>",
         f"WARC-Date: {date}",
-        *([f"WARC-Target-URI: {_CONTROL.sub(lambda m: f'%{ord(m[0]):02X}', url)}"] if url is not None else []),
+        *([f"WARC-Target-URI: {escaped}"] if url is not None else []),
+        *([f"X-Given-URL: {json.dumps(url)}"] if escaped != url else []),
         f"WARC-Payload-Digest: sha1:{digest}",
         *([f"WARC-Refers-To: <urn:x-page:{refers_to}>", f"WARC-Profile: {PROFILE}"] if refers_to is not None else []),
         "Content-Type: application/http; msgtype=response",
@@ -147,10 +151,17 @@ def write_archives(pages: DataFrame, min_bytes: int = 0, file_bytes: int = FILE_
 
 def candidates(data, start: int, end: int) -> tuple[list[int], list[int]]:
     """Offsets of the magic that begin in [start, end), and where each says that it ends (-1: nowhere)."""
-    offsets, after, at = [], [], data.find(MAGIC, start, min(len(data), end + len(MAGIC) - 1))
+    offsets, after, stop, length, at = [], [], -1, None, data.find(MAGIC, start, min(len(data), end + len(MAGIC) - 1))
     while at >= 0:
-        stop = data.find(b"\r\n\r\n", at, at + HEADER_BYTES)
-        length = _LENGTH.search(data[at : stop + 2]) if stop >= 0 else None
+        # A header ends at the first empty line, however far: a URL may be of any length. Magics
+        # before that line share it and the next length field, so no byte is searched again
+        # for each of them.
+        if stop < at:
+            stop = data.find(b"\r\n\r\n", at)
+            stop = len(data) if stop < 0 else stop
+            length = _LENGTH.search(data, at, stop + 2) if stop < len(data) else None
+        elif length and length.start() < at:
+            length = _LENGTH.search(data, at, stop + 2)
         to = stop + 8 + int(length[1]) if length else -1
         offsets.append(at)
         after.append(to if 0 < to <= len(data) and data[to - 4 : to] == b"\r\n\r\n" else -1)
@@ -226,6 +237,7 @@ def _parse(data, at: int, with_payload: bool) -> tuple:
     end = body + int(head["Content-Length"])
     number = lambda name: int(x) if (x := head[name][len("<urn:x-page:") : -1]) else None
     digest = head["WARC-Payload-Digest"].removeprefix("sha1:")
+    url = json.loads(head["X-Given-URL"]) if "X-Given-URL" in head else head.get("WARC-Target-URI")
     if head["WARC-Type"] == "revisit":
         size, refers, payload = int(_LENGTH.search(data[body : split - 2])[1]), number("WARC-Refers-To"), None
     else:
@@ -233,7 +245,7 @@ def _parse(data, at: int, with_payload: bool) -> tuple:
         size = len(payload)
         if base32_sha1(payload) != digest:
             raise ValueError(f"payload of the record at {at} does not have its digest")
-    return number("WARC-Record-ID"), head.get("WARC-Target-URI"), size, digest, head["WARC-Type"], refers, payload if with_payload else None
+    return number("WARC-Record-ID"), url, size, digest, head["WARC-Type"], refers, payload if with_payload else None
 
 
 def read_archives(files: DataFrame, with_payload: bool = True) -> DataFrame:
