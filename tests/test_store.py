@@ -6,7 +6,10 @@ from pyspark.sql import functions as F
 
 from tidemark.plans import commands
 from tidemark.schemas import OBSERVATIONS
+from tidemark.sources import snapshots
+from tidemark.sources import store as store_module
 from tidemark.sources.payloads import normalize_fred, validate_fred
+from tidemark.sources.snapshots import ConcurrentChange, SnapshotTable
 from tidemark.sources.store import COUNTS, ObservationStore
 from tidemark.sources.tables import preview, read_dataset, read_forecasts, read_metrics, write_table
 from tidemark.streaming.ingest import landing_stream, upsert_stream
@@ -60,8 +63,60 @@ def test_only_touched_partitions_are_rewritten(spark, store, tmp_path):
     store.upsert(batch(spark).unionByName(batch(spark, date="2021-01-01")).unionByName(batch(spark, source="bls")))
     before = files()
     store.upsert(batch(spark, 1.0))
+    assert len(before) == 3 and len(files()) == 4 and before.items() <= files().items()
+    assert store.vacuum() == 1 and len(files()) == 3
     kept = {p for p in before if p in files()}
-    assert len(before) == 3 and len(kept) == 2 and store.read().count() == 3
+    assert len(kept) == 2 and store.read().count() == 3
+
+
+def test_a_merge_lost_before_its_swap_changes_nothing(spark, store, monkeypatch):
+    store.upsert(batch(spark).unionByName(batch(spark, series="UNRATE")))
+    before = rows(store.read(), "series_id")
+    with monkeypatch.context() as broken:
+        broken.setattr(SnapshotTable, "commit", lambda *_: 1 / 0)
+        for change in (store.upsert, store.insert):
+            with pytest.raises(ZeroDivisionError):
+                change(batch(spark, 1.0, date="2020-05-01"))
+    again = ObservationStore(spark, store.layout_path.removesuffix("/layout"))
+    assert rows(again.read(), "series_id") == before
+    assert again.vacuum() == 2 and rows(again.read(), "series_id") == before
+    assert again.upsert(batch(spark, 1.0, date="2020-05-01")) == counts(rows_seen=1, inserted=1)
+    assert again.read().count() == 3
+
+
+def test_readers_keep_their_state_and_a_second_writer_fails(spark, store, monkeypatch):
+    store.upsert(batch(spark))
+    early, current = store.read(), SnapshotTable.current
+    state = store._observations.current()
+    store.upsert(batch(spark, 1.0))
+    assert early.first().value == 311.25 and store.read().first().value == 1.0
+    monkeypatch.setattr(SnapshotTable, "current", lambda self: state if self is store._observations else current(self))
+    with pytest.raises(ConcurrentChange):
+        store.upsert(batch(spark, 2.0))
+    monkeypatch.undo()
+    assert store.read().first().value == 1.0
+
+
+def test_old_lists_go(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(snapshots, "LISTS_KEPT", 3)
+    table = SnapshotTable(spark, str(tmp_path / "t"), OBSERVATIONS)
+    assert table.read(table.current().folders).count() == 0 and table.vacuum() == 0
+    for i in range(6):
+        state = table.current()
+        table.commit(state, [*state.folders, *table.write(batch(spark, float(i)))], {"last": i})
+    assert table._numbers() == [4, 5, 6] and table.current().notes == {"last": 5}
+    assert table.read(table.current().folders).count() == 6
+    table.commit(table.current(), [])
+    assert table.vacuum(2) == 0 and table.vacuum() == 6 and table.read(table.current().folders).count() == 0
+
+
+def test_sources_with_odd_names(spark, store):
+    names = ["a/b", "x=y%2F", "é ü", "st*r[1]{2}", "#?"]
+    for value in (1.0, 2.0):
+        made = [store.upsert(batch(spark, value, source=name)) for name in names]
+        assert made == [counts(rows_seen=1, **{"inserted" if value == 1 else "updated": 1})] * len(names)
+    assert sorted(r.source for r in store.read().where("value = 2").collect()) == sorted(names)
+    assert store.read(names[1]).count() == 1
 
 
 def test_insert_rejects_a_batch_with_known_keys(spark, store):
@@ -110,6 +165,20 @@ def test_run_log(spark, store):
     breaks(lambda: store.list_runs(0), "one run or more")
 
 
+def test_run_log_stays_in_few_folders(spark, store, monkeypatch):
+    monkeypatch.setattr(store_module, "EVENT_FOLDERS", 3)
+    for i in range(1, 12):
+        assert store.start_run("fred", f"S{i}") == i
+        store.finish_run(i, counts(rows_seen=i))
+        assert len(store._events.current().folders) <= 2 * 4
+    found = store.list_runs(20).collect()
+    assert [(r.id, r.series_id, r.status, r.rows_seen) for r in found] == [(i, f"S{i}", "succeeded", i) for i in range(11, 0, -1)]
+    # Starting a run reads the list and no event, unless it folds some.
+    monkeypatch.setattr(store_module, "EVENT_FOLDERS", 100)
+    monkeypatch.setattr(SnapshotTable, "read", lambda *_: 1 / 0)
+    assert store.start_run("bls", "T") == 12
+
+
 def land(path, series="CPIAUCSL", months=3, base=100.0):
     path.mkdir(exist_ok=True)
     observations = [

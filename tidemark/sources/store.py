@@ -1,15 +1,18 @@
 """The observation table and its ingestion log as Parquet folders.
 
 Observations are partitioned by source, year of the period and a hash bucket of the
-series. A merge rewrites only the partitions its batch touches, which for the usual batch
-of one series is one bucket of a few years. Runs are an append-only table of events; the state of
-a run is its latest event. Both expect one writer at a time.
+series. A merge writes anew only the partitions its batch touches, which for the usual batch
+of one series is one bucket of a few years, and then swaps the table's list of folders; until
+that moment, and if it never comes, readers see the old table (see ``snapshots``). The state
+of a run is its latest event. Events are folded into larger and larger folders, so starting
+or listing runs opens few of them however many there are. Both expect one writer at a time;
+a second one fails at its swap.
 """
 
 import json
 from collections.abc import Callable, Sequence
 from datetime import UTC, datetime
-from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,6 +35,7 @@ from tidemark.schemas import (
     VINTAGE_KEY,
 )
 from tidemark.session import stage
+from tidemark.sources.snapshots import Snapshot, SnapshotTable
 
 COUNTS = ["rows_seen", "inserted", "updated", "skipped"]
 STORED = T.StructType(
@@ -43,6 +47,8 @@ STORED = T.StructType(
     ]
 )
 PARTITIONS = ["source", "period_year", "series_bucket"]
+#: So many folders of events become one folder of the next level.
+EVENT_FOLDERS = 32
 LAYOUT = T.StructType([T.StructField("buckets", T.IntegerType(), False)])
 
 
@@ -153,6 +159,8 @@ class ObservationStore:
         self.observations_path = f"{base}/observations"
         self.runs_path = f"{base}/ingestion_runs"
         self.layout_path = f"{base}/layout"
+        self._observations = SnapshotTable(spark, self.observations_path, STORED)
+        self._events = SnapshotTable(spark, self.runs_path, RUN_EVENTS)
         written = self._table(self.layout_path, LAYOUT).first()
         self.buckets = written.buckets if written else buckets
 
@@ -168,7 +176,11 @@ class ObservationStore:
             return self.spark.createDataFrame([], schema)
 
     def stored(self) -> DataFrame:
-        return self._table(self.observations_path, STORED)
+        return self._observations.read(self._observations.current().folders)
+
+    def vacuum(self) -> int:
+        """Delete folders that neither table uses any more; readers of older states break."""
+        return self._observations.vacuum() + self._events.vacuum()
 
     def read(self, source: str | None = None, series_id=None, ordered: bool = False) -> DataFrame:
         """Observations; ``source`` and ``series_id`` prune partitions and reach the files."""
@@ -179,8 +191,11 @@ class ObservationStore:
         """Stored rows of the buckets that these series fall into; of all buckets without series."""
         if series_id is None:
             return self.stored()
-        wanted = [series_id] if isinstance(series_id, str) else series_id
-        return self.stored().where(F.col("series_bucket").isin([self._bucket(F.lit(s)) for s in wanted]))
+        names = [series_id] if isinstance(series_id, str) else list(series_id)
+        wanted = [self._bucket(F.lit(name)) for name in names]
+        buckets = set(self.spark.range(1).select(F.array(*wanted)).first()[0])
+        folders = [f for f in self._observations.current().folders if _partition(f)[2] in buckets]
+        return self._observations.read(folders).where(F.col("series_bucket").isin(wanted))
 
     def coverage(self, source: str | None = None, series_id: str | None = None) -> DataFrame:
         return coverage(self._pruned(series_id), source, series_id)
@@ -188,37 +203,38 @@ class ObservationStore:
     def insert(self, observations: DataFrame) -> int:
         """Append; a key that repeats, in the batch or in the table, rejects all of it."""
         batch = stage(coerce_observations(observations))
+        state = self._observations.current()
         repeated = Q.duplicate_keys(batch, VINTAGE_KEY).limit(5).collect()
-        present = self._touched(batch).join(batch.select(*VINTAGE_KEY), VINTAGE_KEY, "left_semi").limit(5).collect()
+        known = self._observations.read(self._touched(state, batch))
+        present = known.join(batch.select(*VINTAGE_KEY), VINTAGE_KEY, "left_semi").limit(5).collect()
         if repeated or present:
             raise Q.ContractError(f"Vintage keys not unique: {[r.asDict() for r in [*repeated, *present]]}")
         rows = batch.count()
         if rows:
-            self._write(batch, "append")
+            self._observations.commit(state, [*state.folders, *self._write(batch)])
         return rows
 
     def upsert(self, observations: DataFrame, order_by: Sequence[str] = ("fetched_at", "value")) -> dict[str, int]:
         """Merge by vintage key; running the same batch again changes nothing."""
         keep = [c for c in order_by if c not in OBSERVATION_COLUMNS]
         batch = stage(coerce_observations(observations, keep))
-        current = self._touched(batch)
+        state = self._observations.current()
+        touched = self._touched(state, batch)
+        current = self._observations.read(touched)
         counts = upsert_counts(upsert_changes(current, batch, order_by)).first().asDict()
         if counts["inserted"] or counts["updated"]:
-            # Staged first: a path must not be overwritten while it is being read.
-            self._write(stage(upsert_result(current, batch, order_by)), "overwrite")
+            made = self._write(upsert_result(current, batch, order_by))
+            replaced = set(touched)
+            self._observations.commit(state, [*[f for f in state.folders if f not in replaced], *made])
         return counts
 
-    def _touched(self, batch: DataFrame) -> DataFrame:
-        """Stored rows of the partitions the batch falls into, by a static partition filter."""
-        parts = batch.select("source", F.year("date").alias("y"), self._bucket(F.col("series_id")).alias("b"))
-        years = parts.groupBy("source", "b").agg(F.collect_set("y").alias("years")).collect()
-        hit = [
-            (F.col("source") == r.source) & (F.col("series_bucket") == r.b) & F.col("period_year").isin(r.years)
-            for r in years
-        ]
-        return self.stored().where(reduce(lambda a, b: a | b, hit, F.lit(False)))
-
-    def _write(self, rows: DataFrame, mode: str) -> None:
+    def _touched(self, state: Snapshot, batch: DataFrame) -> list[str]:
+        """Folders of the partitions that the batch falls into."""
+        parts = batch.select("source", F.year("date"), self._bucket(F.col("series_id"))).distinct()
+        wanted = {tuple(row) for row in parts.collect()}
+        return [folder for folder in state.folders if _partition(folder) in wanted]
+
+    def _write(self, rows: DataFrame) -> list[str]:
         if self._table(self.layout_path, LAYOUT).isEmpty():
             layout = self.spark.createDataFrame([(self.buckets,)], LAYOUT)
             layout.coalesce(1).write.mode("append").parquet(self.layout_path)
@@ -229,16 +245,10 @@ class ObservationStore:
             F.year("date").alias("period_year"),
             self._bucket(F.col("series_id")).alias("series_bucket"),
         )
-        (
-            placed.hint("rebalance", *PARTITIONS)
-            .write.mode(mode)
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy(*PARTITIONS)
-            .parquet(self.observations_path)
-        )
+        return self._observations.write(placed.hint("rebalance", *PARTITIONS), PARTITIONS)
 
     def runs(self) -> DataFrame:
-        return run_states(self._table(self.runs_path, RUN_EVENTS))
+        return run_states(self._events.read(self._events.current().folders))
 
     def list_runs(self, limit: int = 10, source: str | None = None, status: str | None = None) -> DataFrame:
         return list_runs(self.runs(), limit, source, status)
@@ -247,24 +257,30 @@ class ObservationStore:
         row = get_run(self.runs(), run_id).first()
         return None if row is None else row.asDict()
 
-    def _log(self, run_id: int, seq: int, status: str, **values) -> None:
+    def _log(self, state: Snapshot, run_id: int, seq: int, status: str, **values) -> None:
         event = {name: None for name in RUN_EVENTS.fieldNames()} | values
         event |= {"id": run_id, "event_seq": seq, "status": status}
         row = self.spark.createDataFrame([tuple(event[n] for n in RUN_EVENTS.fieldNames())], RUN_EVENTS)
-        row.coalesce(1).write.mode("append").parquet(self.runs_path)
+        folders = [*state.folders, *self._events.write(row.coalesce(1), under="level=0/")]
+        level = 0
+        while len(full := [f for f in folders if f.startswith(f"level={level}/")]) >= EVENT_FOLDERS:
+            level += 1
+            folded = self._events.write(self._events.read(full).coalesce(1), under=f"level={level}/")
+            folders = [*[f for f in folders if f not in full], *folded]
+        self._events.commit(state, folders, {"last_id": max(run_id, state.notes.get("last_id", 0))})
 
     def start_run(self, source: str, series_id: str, parameters: dict | None = None) -> int:
-        highest = self._table(self.runs_path, RUN_EVENTS).agg(F.max("id")).first()[0]
-        run_id = (highest or 0) + 1
+        state = self._events.current()
+        run_id = state.notes.get("last_id", 0) + 1
         text = json.dumps(parameters or {}, sort_keys=True, default=str)
-        self._log(run_id, 0, STARTED, source=source, series_id=series_id, started_at=_now(), parameters_json=text)
+        self._log(state, run_id, 0, STARTED, source=source, series_id=series_id, started_at=_now(), parameters_json=text)
         return run_id
 
     def finish_run(self, run_id: int, counts: dict[str, int]) -> None:
-        self._log(run_id, 1, SUCCEEDED, finished_at=_now(), **{c: int(counts.get(c, 0)) for c in COUNTS})
+        self._log(self._events.current(), run_id, 1, SUCCEEDED, finished_at=_now(), **{c: int(counts.get(c, 0)) for c in COUNTS})
 
     def fail_run(self, run_id: int, message: str) -> None:
-        self._log(run_id, 1, FAILED, finished_at=_now(), error_message=message)
+        self._log(self._events.current(), run_id, 1, FAILED, finished_at=_now(), error_message=message)
 
     def run_ingestion(
         self,
@@ -286,5 +302,11 @@ class ObservationStore:
         return {"run_id": run_id, "status": SUCCEEDED, **counts}
 
 
+def _partition(folder: str) -> tuple[str, int, int]:
+    """Source, year and bucket from a folder's name."""
+    values = dict(part.split("=", 1) for part in folder.split("/"))
+    return unquote(values["source"]), int(values["period_year"]), int(values["series_bucket"])
+
+
 def _now() -> datetime:
     return datetime.now(UTC)
