@@ -5,9 +5,10 @@ from helpers import rows
 from pyspark.sql import functions as F
 
 from tidemark.functions import ordered, ranks
-from tidemark.functions.ordered import measure, timeline
+from tidemark.functions.ordered import measure, measure_up_to, timeline
 from tidemark.functions.ranks import exact_medians, exact_ranks
 from tidemark.operators.transforms import difference, percent_change, rolling_z_score
+from tidemark.session import stage_path
 
 
 @pytest.fixture(scope="module")
@@ -54,6 +55,27 @@ def test_measure_counts_once(hot):
     assert (sizes.rows, sizes.dropped) == (720, 180) and sizes.largest_group == 480
 
 
+def test_measure_up_to_finds_the_same_cuts(hot, spark, monkeypatch):
+    nothing = spark.range(0).select(F.lit("k").alias("k"))
+    for slots in (1, 2, 1 << 14):
+        monkeypatch.setattr(ordered, "SLOTS", slots)
+        for limit in (10, 599, 600, 10**6):
+            for by in (["k"], []):
+                sizes, exact = measure_up_to(hot, by, limit), measure(hot, by)
+                assert sizes.rows == 900 and (sizes.largest_group > limit) == (exact.largest_group > limit)
+        assert measure_up_to(nothing, ["k"], 5).rows == 0
+
+
+def test_costly_inputs_are_computed_once(hot, monkeypatch):
+    staged = []
+    monkeypatch.setattr(ordered, "stage", lambda df: staged.append(df) or df)
+    scan = hot.sparkSession.read.parquet(stage_path(hot))
+    timeline(scan.where("v > 1").withColumn("x", F.col("v") + 1), ["k"], ["t"])
+    assert not staged
+    timeline(scan.groupBy("k").agg(F.max("t").alias("t")), ["k"], ["t"])
+    assert len(staged) == 1
+
+
 def test_transforms(spark):
     frame = spark.createDataFrame([("s", i, v) for i, v in enumerate([100.0, 105.0, 110.25])], "k string, t int, v double")
     pick = lambda df, c: [None if r[0] is None else round(r[0], 9) for r in df.orderBy("t").select(c).collect()]

@@ -36,6 +36,19 @@ class Sizes:
     dropped: int
 
 
+COSTLY = ("Exchange", "InPandas", "InArrow", "EvalPython")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df``, written once if computing its rows takes a shuffle or Python.
+
+    For frames that are measured first and used afterwards: both then read what is written.
+    A plain scan is left alone, since measuring it reads the key columns only.
+    """
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return stage(df) if any(step in plan for step in COSTLY) else df
+
+
 def measure(df: DataFrame, by: Sequence[str], required: str | None = None) -> Sizes:
     """Row counts in one job over the key columns; ``required`` NULLs count as dropped."""
     kept = F.lit(True) if required is None else F.col(required).isNotNull()
@@ -48,6 +61,22 @@ def measure(df: DataFrame, by: Sequence[str], required: str | None = None) -> Si
     return Sizes(int(row[0]), int(row[1]), int(row[2]))
 
 
+#: Few enough to be combined in every map task, many enough to part any but large keys.
+SLOTS = 1 << 14
+
+
+def measure_up_to(df: DataFrame, by: Sequence[str], limit: int) -> Sizes:
+    """Row counts; ``largest_group`` may be too high, but not once that takes it over ``limit``.
+
+    Groups are first counted together by a hash, which sends a few numbers a task and no
+    keys. Only if one of these sums is over the limit are the groups counted one by one.
+    """
+    slot = F.pmod(F.xxhash64(*by), F.lit(SLOTS)) if by else F.lit(0)
+    together = df.groupBy(slot.alias("slot")).agg(F.count(F.lit(1)).alias("n"))
+    rows, largest = together.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    return Sizes(int(rows), int(largest), 0) if largest <= limit or not by else measure(df, by)
+
+
 def last_nulls(names: Sequence[str]) -> list[Column]:
     return [F.col(name).asc_nulls_last() for name in names]
 
@@ -168,18 +197,22 @@ def timeline(
     order: Sequence[str],
     *,
     sizes: Sizes | None = None,
+    measured: DataFrame | None = None,
     bounded: bool = False,
     rows_per_tile: int | None = None,
 ) -> Timeline:
     """Order ``df`` by ``order`` (missing last) within ``by``.
 
     ``bounded=True`` says that the keys themselves bound every group, for instance
-    one row per calendar day; then nothing is measured.
+    one row per calendar day; then nothing is measured. ``measured`` is a smaller frame
+    whose groups tell as much about sizes.
     """
     rows_per_tile = rows_per_tile or min(ROWS_PER_TILE, CELLS_PER_TILE // max(1, len(df.columns)))
     by, order = tuple(by), tuple(order)
     if not bounded:
-        sizes = sizes or measure(df, by)
+        if sizes is None:
+            df = settled(df) if measured is None else df
+            sizes = measure_up_to(df if measured is None else measured, by, rows_per_tile)
         df = df.withColumn(TIE, F.xxhash64(*[f.name for f in df.schema if not isinstance(f.dataType, T.MapType)]))
         order = (*order, TIE)
         if sizes.largest_group > rows_per_tile:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import quality as Q
 from tidemark.functions import scalars as S
 from tidemark.functions.expanding import expanding_median, exclusive_median
-from tidemark.functions.ordered import TILE, Timeline, measure, timeline, warn_dropped
+from tidemark.functions.ordered import TILE, Timeline, measure, settled, timeline, warn_dropped
 from tidemark.schemas import DATASET_COLUMNS, FORECAST_COLUMNS, FORECASTS, NAIVE, feature_columns
 from tidemark.session import stage
 
@@ -73,7 +73,7 @@ def open_walk(
     without a target (dropped with a warning) and too short inputs (an error)."""
     if min_train_size < 1:
         raise ValueError("min_train_size must be at least 1.")
-    typed = prepare_dataset(dataset, features)
+    typed = settled(prepare_dataset(dataset, features))
     sizes = measure(typed, by, "target_value")
     warn_dropped(sizes, "target_value")
     if sizes.largest_group <= min_train_size:

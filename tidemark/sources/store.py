@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from tidemark.functions import quality as Q
 from tidemark.functions import scalars as S
-from tidemark.functions.ordered import measure, timeline
+from tidemark.functions.ordered import timeline
 from tidemark.operators.diagnostics import coverage
 from tidemark.operators.targets import filter_series
 from tidemark.schemas import (
@@ -87,8 +87,7 @@ def upsert_changes(
     )
     rows = known.unionByName(batch.select(*VINTAGE_KEY, "value", "fetched_at", *extra, F.lit(1).alias("_new")))
     # The table adds at most one row per key, so the batch alone tells how large groups are.
-    sizes = measure(batch, VINTAGE_KEY)
-    line = timeline(rows, VINTAGE_KEY, ["_new", *order_by], sizes=sizes, rows_per_tile=rows_per_tile)
+    line = timeline(rows, VINTAGE_KEY, ["_new", *order_by], measured=batch, rows_per_tile=rows_per_tile)
     seen = line.look_back(1, lambda w: {"_was": F.lag(F.struct("value", "fetched_at")).over(w)}).rows()
     same = F.col("value").eqNullSafe(F.col("_was.value")) & F.col("fetched_at").eqNullSafe(F.col("_was.fetched_at"))
     action = F.when(F.col("_was").isNull(), "inserted").when(same, "skipped").otherwise("updated")
