@@ -138,21 +138,6 @@ def day_grid(days: DataFrame, released: DataFrame, names: Sequence[str], ties: S
     return grid.withColumnsRenamed({name: _feature(name) for name in names})
 
 
-def asof_by_range_join(targets: DataFrame, observations: DataFrame, names: Sequence[str]) -> DataFrame:
-    """The same cells by the textbook inequality join, as a cross-check for small inputs."""
-    series = targets.select(*DATASET_COLUMNS, F.explode(F.array(*[F.lit(n) for n in names])).alias("series_id"))
-    o = observations.alias("o")
-    t = series.alias("t")
-    reach = (F.col("t.series_id") == F.col("o.series_id")) & (
-        F.col("o.release_date") <= F.col("t.forecast_timestamp")
-    )
-    ties = tie_columns(observations, None)
-    joined = t.join(o, reach, "left").select("t.*", *[f"o.{n}" for n in ["release_date", "date", "source", "value", *ties]])
-    return joined.groupBy(*DATASET_COLUMNS, "series_id").agg(
-        F.max_by(F.struct("value"), _rank(["release_date", "date", "source", *ties])).getField("value").alias("value")
-    )
-
-
 def lagged_targets(
     dataset: DataFrame, lags: Sequence[int] = (1,), bounded: bool = False, rows_per_tile: int | None = None
 ) -> DataFrame:

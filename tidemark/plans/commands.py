@@ -55,6 +55,7 @@ def ingest_bls(
             warnings.warn("No release calendar: release dates stay missing.", RuntimeWarning, stacklevel=2)
             return rows
         calendar = C.read_release_calendar(store.spark, calendar_path)
+        rows = stage(rows)  # Parsed once, for the coverage and for the merge.
         C.assert_calendar_coverage(rows, calendar, strict_calendar)
         return C.map_release_dates(rows, calendar)
 
