@@ -23,32 +23,61 @@ def p_value(token):
     n, k = len(body), len(letters)
     tail = lambda z: 1 / (1 + math.exp(min(700.0, 0.07056 * z**3 + 1.5976 * z)))
     two = lambda z: 2 * tail(min(z, 30.0))
-    chi = (max(0.0, (k / n * sum(body.count(c) ** 2 for c in letters) - n) / (k - 1)) ** (1 / 3) - (1 - 2 / (9 * (k - 1)))) / math.sqrt(2 / (9 * (k - 1)))
-    s = [letters.find(c) for c in body]
-    high = [x >= k / 2 for x in s]
-    a, b = sum(high), n - sum(high)
-    runs, mean = 1 + sum(x != y for x, y in zip(high, high[1:], strict=False)), 2 * a * b / n + 1
-    z = abs(runs - mean) / math.sqrt(max((mean - 1) * (mean - 2) / max(n - 1, 1), 1e-9)) if a and b else 30.0
-    d = [x - (k - 1) / 2 for x in s]
+
+    def cell(c):
+        if c in "0123456789+/-_":
+            return 0
+        if k >= 62 and c.isupper():
+            return 3
+        return 1 if c.lower() in "aeinorst" and k > 16 else 2
+
+    part = [sum(cell(c) == i for c in letters) / k for i in range(4)]
+    seen = [sum(cell(c) == i for c in body) for i in range(4)]
+    df = sum(x > 0 for x in part) - 1
+    squares = sum((o - n * x) ** 2 / (n * x) for o, x in zip(seen, part, strict=True) if x)
+    chi = ((squares / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df))
+    equal, cube = sum(x**2 for x in part), sum(x**3 for x in part)
+    same = sum(cell(x) == cell(y) for x, y in zip(body, body[1:], strict=False))
+    runs = abs(same - (n - 1) * equal) / math.sqrt((n - 1) * equal * (1 - equal) + 2 * (n - 2) * (cube - equal**2))
+    d = [letters.find(c) - (k - 1) / 2 for c in body]
     serial = abs(sum(x * y for x, y in zip(d, d[1:], strict=False)) / max(sum(x * x for x in d), 1e-9)) * math.sqrt(n)
-    return min(1.0, 3 * min(tail(min(chi, 30.0)), two(z), two(serial)))
+    return min(1.0, 3 * min(tail(min(chi, 30.0)), two(runs), two(serial)))
+
+
+def step(token):
+    return min(240, int(-math.log10(max(p_value(token), 1e-300)) * 20))
+
+
+def decoy(token, place, words):
+    n, first = len(token), place * 5 % max(1, len(words))
+    some = words[first : first + n // 3 + 1]
+    text = "".join(w[0].upper() + w[1:] for w in some) if place % 3 == 0 else "_/"[place % 3 - 1].join(some).lower()
+    return text[: n - 2] + f"{n * 37 % 100:02}" if len(text) >= n - 2 else None
 
 
 def brute(texts, rate=secrets.RATE):
-    tokens = []
+    tokens, steps = [], {}
     for t in texts:
-        tokens.append([(m.start(), m.end(), int(math.log2(len(m[0]))), min(240, int(-math.log10(max(p_value(m[0]), 1e-300)) * 20))) for m in re.finditer(secrets.TOKEN, t or "") if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0]) and len(m[0].rstrip("=")) >= 16])
+        known = base(t)
+        free = [(m.start(), m.end(), m[0]) for m in re.finditer(secrets.TOKEN, t or "") if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0]) and len(m[0].rstrip("=")) >= 16]
+        free = [x for x in free if not any(b[0] < x[1] and x[0] < b[3] for b in known)]
+        words = re.findall(secrets.WORD, t or "")
+        tokens.append([(s, e, int(math.log2(e - s)), step(x)) for s, e, x in free])
+        for i, (s, e, x) in enumerate(free):
+            mine = steps.setdefault(int(math.log2(e - s)), ([], []))
+            mine[0].append(step(x))
+            if made := decoy(x, i, words):
+                mine[1].append(step(made))
     limit = {}
-    for size in {x[2] for ts in tokens for x in ts}:
-        steps = sorted((x[3] for ts in tokens for x in ts if x[2] == size), reverse=True)
-        for step in set(steps):
-            if 10 ** (-step / 20) <= rate * sum(s >= step for s in steps) / len(steps):
-                limit[size] = min(step, limit.get(size, 999))
+    for size, (real, made) in steps.items():
+        for at in set(real + made):
+            reported, wrong = sum(x <= at for x in real), sum(x <= at for x in made)
+            if 10 ** (-at / 20) >= 0.01 and wrong * len(real) <= rate * reported * len(made):
+                limit[size] = max(at, limit.get(size, -1))
     out = []
     for t, ts in zip(texts, tokens, strict=True):
         known = base(t)
-        more = [(s, 3, "random", e) for s, e, size, step in ts if step < limit.get(size, 999) and not any(b[0] < e and s < b[3] for b in known)]
-        out.append((known, sorted(known + more)))
+        out.append((known, sorted(known + [(s, 3, "random", e) for s, e, size, at in ts if at <= limit.get(size, -1)])))
     return out
 
 
@@ -79,6 +108,55 @@ def test_equals_brute_force(spark):
         assert [tuple(x) for x in made[i]["found"]] == spans, texts[i]
 
 
+def identifiers(rng):
+    names = "login server channel public handler socket config service order account payment value user session cache worker table index remote client update status history network".split()
+    some = lambda n: [rng.choice(names) for _ in range(n)]
+    while True:
+        form, n = rng.randrange(3), rng.randint(3, 5)
+        text = ["".join(x.title() for x in some(n)), "_".join(some(n)), "/".join(some(n)) + "/"][form] + str(rng.randrange(1, 10 ** rng.randint(1, 4)))
+        if len(text) >= 20:
+            yield text
+
+
+def test_ordinary_identifiers_are_no_secrets_and_keys_are(spark):
+    rng = random.Random(7)
+    prose = "the first value of each order is kept with the account and then written to a table that other people read when they look for what has changed since last week".split()
+    b64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    ordinary = identifiers(rng)
+    texts, keys = [], set()
+    for i in range(6000):
+        if i % 3:
+            token = next(ordinary)
+        else:
+            token = "".join(rng.choices(b64[: rng.choice([62, 64])], k=rng.randint(20, 60)))
+            if not (re.search("[0-9]", token) and re.search("[A-Za-z]", token)):
+                continue
+            keys.add(token)
+        texts.append(" ".join([*rng.choices(prose, k=30), token, *rng.choices(prose, k=5)]))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = [texts[r["doc_id"]][x["start"] : x["end"]] for r in secrets.scan(frame).collect() for x in r["found"] if x["kind"] == "random"]
+    long_keys = [k for k in keys if len(k) >= 24]
+    assert sum(x not in keys for x in found) <= 0.02 * len(found)
+    assert sum(k in set(found) for k in long_keys) >= 0.9 * len(long_keys)
+
+
+def test_no_secrets_in_text_without_keys(spark):
+    ordinary = identifiers(random.Random(3))
+    texts = [(i, f"plain words stand before every name that follows here {next(ordinary)} and after it") for i in range(1000)]
+    found = secrets.scan(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert sum(len(r["found"]) for r in found) <= 10
+
+
+def test_p_values_of_random_tokens_reject_about_as_often_as_they_say():
+    rng = random.Random(11)
+    for _, letters in secrets._ALPHABETS:
+        for n in (20, 32, 64, 200):
+            # The alphabet is given, so that a token cannot be taken for one of a smaller alphabet.
+            tokens = ["".join(rng.choices(letters, k=n)) for _ in range(1500)]
+            tokens = [t for t in tokens if next(x for p, x in secrets._ALPHABETS if re.search(p, t)) == letters]
+            assert sum(p_value(t) < 0.01 for t in tokens) <= 0.035 * max(len(tokens), 100)
+
+
 def test_redaction(spark):
     frame = spark.createDataFrame([(1, "é token=abcdefabcdef0123456789 b"), (2, None), (3, "clean")], "doc_id long, text string")
     made = {r["doc_id"]: r["text"] for r in secrets.redact(secrets.scan(frame)).collect()}
