@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
+from tidemark.functions.gram import gram
 from tidemark.functions.ranks import exact_medians
 from tidemark.functions.trees import Settings
 from tidemark.session import stage
@@ -21,13 +22,18 @@ def supervised_guard(
         if lost:
             raise ValueError(f"{label}: {place} lacks {lost}.")
     rows = train.select(S.number(train, target).alias("_y"), *[S.number(train, c).alias(c) for c in features]).where("_y is not null")
-    endless = lambda c: F.count_if(F.abs(F.col(c)) == float("inf")).alias(f"inf_{c}")
-    facts = rows.agg(F.count(F.lit(1)).alias("_n"), *[F.count(c).alias(c) for c in features], *[endless(c) for c in ("_y", *features)]).first()
-    infinite = [c for c in ("_y", *features) if facts[f"inf_{c}"]]
+    names = ["_y", *features]
+    cells = rows.select(F.posexplode(F.array(*[F.col(c) for c in names])).alias("_i", "_v"))
+    facts = {
+        names[r["_i"]]: r for r in cells.groupBy("_i").agg(F.count("_v").alias("known"), F.count_if(F.abs("_v") == float("inf")).alias("endless")).collect()
+    }
+    infinite = [c for c in names if facts and facts[c]["endless"]]
     if infinite:
         raise ValueError(f"{label}: training values must be finite or missing, unlike {[target if c == '_y' else c for c in infinite]}.")
-    if facts["_n"] < 2 or not any(facts[c] for c in features):
-        raise ValueError(f"{label}: nothing to learn from {facts['_n']} rows with a target and {sum(bool(facts[c]) for c in features)} features with values.")
+    count = facts["_y"]["known"] if facts else 0
+    filled = sum(facts[c]["known"] > 0 for c in features) if facts else 0
+    if count < 2 or not filled:
+        raise ValueError(f"{label}: nothing to learn from {count} rows with a target and {filled} features with values.")
     return rows
 
 
@@ -44,38 +50,28 @@ def fit_predict_ridge(
 ) -> DataFrame:
     """``test`` with ``prediction``: median imputation, standardizing, ridge.
 
-    One aggregate collects the sums a fit needs (its size depends on the number of
-    features only); the prediction is then a plain projection.
+    The sums a fit needs are one matrix of products, made in blocks, so jobs and groups do
+    not grow with the number of features; the prediction is a plain projection over arrays.
     """
     rows = supervised_guard(train, test, features, target, "Ridge")
     medians = exact_medians(rows, features)
     used = [c for c in features if medians[c] is not None]
     p = len(used)
-    # Shifting by the median keeps the sums small and makes imputed values zero.
-    z = [F.coalesce(F.col(c) - F.lit(medians[c]), F.lit(0.0)) for c in used]
     base = rows.agg(F.avg("_y")).first()[0]
-    y = F.col("_y") - F.lit(base)
-    pairs = [(i, j) for i in range(p) for j in range(i, p)]
-    sums = rows.agg(
-        F.count(F.lit(1)), F.sum(y), *[F.sum(c) for c in z], *[F.sum(c * y) for c in z], *[F.sum(z[i] * z[j]) for i, j in pairs]
-    ).first()
-    n, sy = sums[0], sums[1]
-    sx, sxy = np.array(sums[2 : 2 + p]), np.array(sums[2 + p : 2 + 2 * p])
-    gram = np.zeros((p, p))
-    for (i, j), value in zip(pairs, sums[2 + 2 * p :]):
-        gram[i, j] = gram[j, i] = value
+    # Shifting by the median keeps the sums small and makes imputed values zero.
+    sums = gram(rows, ["_y", *used], [base, *[medians[c] for c in used]])
+    n, sy, sx, sxy, products = sums[0, 0], sums[0, 1], sums[0, 2:], sums[1, 2:], sums[2:, 2:]
     mean = sx / n
-    cov = gram / n - np.outer(mean, mean)
-    flat = np.diag(cov) <= 8 * np.finfo(float).eps * np.diag(gram) / n
+    cov = products / n - np.outer(mean, mean)
+    flat = np.diag(cov) <= 8 * np.finfo(float).eps * np.diag(products) / n
     scale = np.where(flat, 1.0, np.sqrt(np.where(flat, 1.0, np.diag(cov))))
     lhs = np.where(flat[:, None] | flat[None, :], 0.0, n * cov / np.outer(scale, scale)) + alpha * np.eye(p)
     weights = np.linalg.solve(lhs, np.where(flat, 0.0, (sxy - mean * sy) / scale)) / scale
-    scored = _typed_features(test, features)
-    prediction = F.lit(float(base + sy / n))
-    for i, c in enumerate(used):
-        shifted = F.coalesce(F.col(c) - F.lit(medians[c]), F.lit(0.0)) - F.lit(float(mean[i]))
-        prediction = prediction + F.lit(float(weights[i])) * shifted
-    return scored.withColumn("prediction", prediction)
+    numbers = lambda values: F.lit([float(v) for v in values])
+    shifted = F.zip_with(F.array(*[F.col(c) for c in used]), numbers(medians[c] for c in used), lambda v, m: F.coalesce(v - m, F.lit(0.0)))
+    parts = F.zip_with(F.zip_with(shifted, numbers(mean), lambda v, m: v - m), numbers(weights), lambda v, w: v * w)
+    prediction = F.aggregate(parts, F.lit(float(base + sy / n)), lambda total, v: total + v)
+    return _typed_features(test, features).withColumn("prediction", prediction)
 
 
 def fit_predict_boosted(
